@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, secret_scan, sentencepiece_codec
+from . import embedding_dedup, pii, quality, secret_scan, sentencepiece_codec, topk_search
 from ._shared import table, with_text
 
 #: Key of the pseudonyms where the caller gives none; production passes its own secret.
@@ -53,6 +53,31 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of every vector whose id is divisible by 20."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), k=20)
+
+
+_TOPK_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s
+)
+SELECT query_id, CAST(rk AS INTEGER) AS "rank", vec_id, score FROM r WHERE rk <= 20
+"""
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with pseudonyms for personal data, and what was replaced."""
     done = pii.pseudonymise(with_text(table(spark, sf_dir, "documents")), DEMO_KEY)
@@ -76,10 +101,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
+        "op6_embeddings": op6_embeddings,
+        "op7_topk": op7_topk,
         "op8_pii": op8_pii,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_topk": _TOPK_SQL}
