@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, pii, quality, secret_scan, sentencepiece_codec, topk_search
+from . import embedding_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, topk_search
 from ._shared import table, with_text
 
 #: Key of the pseudonyms where the caller gives none; production passes its own secret.
@@ -21,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, as pieces with the checksum of their ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the prefix table, decoded again, as digests."""
     model = vocabulary("piece_bpe_32k.model")
@@ -99,6 +105,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
         "op6_embeddings": op6_embeddings,
