@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, topk_search
+from . import embedding_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, substring_dedup, topk_search
 from ._shared import table, with_text
 
 #: Key of the pseudonyms where the caller gives none; production passes its own secret.
@@ -27,6 +27,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of repeated windows of 35 words, as a digest."""
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the prefix table, decoded again, as digests."""
     model = vocabulary("piece_bpe_32k.model")
@@ -106,6 +112,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_substrings": op2_substrings,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
         "op6_embeddings": op6_embeddings,
