@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, substring_dedup, topk_search
+from . import embedding_dedup, line_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, substring_dedup, topk_search
 from ._shared import table, with_text
 
 #: Key of the pseudonyms where the caller gives none; production passes its own secret.
@@ -97,6 +97,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(spans, ",").alias("spans"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its repeated chunks of lines, as a digest."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_LINES_SQL = f"SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM ({line_dedup.ORACLE_SQL.format(table='documents')})"
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, learned from the labels that aren't held out."""
     docs = with_text(table(spark, sf_dir, "documents"))
@@ -118,9 +127,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embeddings": op6_embeddings,
         "op7_topk": op7_topk,
         "op8_pii": op8_pii,
+        "op9_lines": op9_lines,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": _TOPK_SQL}
+    return {"op7_topk": _TOPK_SQL, "op9_lines": _LINES_SQL}
