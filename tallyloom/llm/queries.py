@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, substring_dedup, topk_search
+from . import embedding_dedup, jaccard_join, line_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, substring_dedup, topk_search
 from ._shared import table, with_text
 
 #: Key of the pseudonyms where the caller gives none; production passes its own secret.
@@ -65,6 +65,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of links of every text; the least id of a group is kept."""
+    found = jaccard_join.near_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "copy_of", "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -124,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": op2_substrings,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
+        "op5_jaccard": op5_jaccard,
         "op6_embeddings": op6_embeddings,
         "op7_topk": op7_topk,
         "op8_pii": op8_pii,
