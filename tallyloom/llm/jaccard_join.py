@@ -93,21 +93,21 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *(F.get("sig", b * BAND_ROWS + j) for j in range(BAND_ROWS))))
     keyed = sigs.select("u", F.explode(bands).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u"))).select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u"))).select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
     met, met_path = written(met, "candidates")
     one, two = (sigs.select(F.col("u").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    likely, likely_path = written(met.join(one, "a").join(two, "b").where(_likely("sig_a", "sig_b", threshold, tolerance)).select("a", "b"), "likely")
+    likely, likely_path = written(met.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(_likely("sig_a", "sig_b", threshold, tolerance)).select("a", "b"), "likely")
     drop_written(rows.sparkSession, met_path)
 
     asked = likely.select(F.col("a").alias("u")).union(likely.select("b")).distinct()
     asked = asked.join(classes, "u").select("u", "copy_of", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
-    held = shingled(rows.join(asked, F.col("id").eqNullSafe(F.col("copy_of"))).select("u", "c1", "c2", "text"), n).where("k1 = c1 AND k2 = c2")
+    held = shingled(rows.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("copy_of"))).select("u", "c1", "c2", "text"), n).where("k1 = c1 AND k2 = c2")
     sets, sets_path = written(held.groupBy("u").agg(F.first(F.array_distinct("grams")).alias("s")), "sets")
     sizes = classes.select("u", "copies")
     one = sets.join(sizes, "u").select(F.col("u").alias("a"), F.col("s").alias("sa"), F.col("copies").alias("ca"))
     two = sets.join(sizes, "u").select(F.col("u").alias("b"), F.col("s").alias("sb"), F.col("copies").alias("cb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = likely.join(one, "a").join(two, "b").withColumn("both", both).where(F.col("both") >= threshold * (F.size("sa") + F.size("sb") - F.col("both")))
+    links = likely.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("both", both).where(F.col("both") >= threshold * (F.size("sa") + F.size("sb") - F.col("both")))
     links, _ = written(links.select("a", "b", "ca", "cb"), "links")
     drop_written(rows.sparkSession, likely_path, sets_path)
 

@@ -61,22 +61,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed, _ = written(hashed, "chunks")
     groups = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_k")).alias("_first")).where("_n > 1").drop("_n")
     is_first = F.struct("_id", "_th", "_k").eqNullSafe(F.col("_first"))
-    asked, _ = written(hashed.join(groups, ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
+    asked, _ = written(hashed.join(groups.hint("merge"), ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
 
     def same(a: str, b: str) -> Column:
         return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
 
     wanted = asked.groupBy("_id", "_th").agg(F.collect_set(F.struct("_k", "_h1", "_h2", "_is_first")).alias("_wanted"))  # chunks of one text
-    held = key.alias("d").join(wanted.alias("w"), same("d", "w")).select("d._id", "d._th", "_text", "_wanted")
+    held = key.alias("d").join(wanted.alias("w").hint("merge"), same("d", "w")).select("d._id", "d._th", "_text", "_wanted")
     held = chunked(held, "_text", "_chunks").select("_id", "_th", F.explode(F.transform("_wanted", lambda w: F.struct(w.alias("w"), F.array_join(F.get("_chunks", w["_k"]), "\n").alias("t")))).alias("c"))
     held = held.select("_id", "_th", "c.w.*", "c.t")
     firsts = held.where("_is_first").groupBy("_h1", "_h2").agg(F.first("t").alias("_t"))
-    gone = held.where("NOT _is_first").join(firsts, ["_h1", "_h2"]).where("t = _t").select("_id", "_th", "_k")
+    gone = held.where("NOT _is_first").join(firsts.hint("merge"), ["_h1", "_h2"]).where("t = _t").select("_id", "_th", "_k")
     gone, _ = written(gone.groupBy("_id", "_th").agg(F.collect_set("_k").alias("_gone")), "gone")
 
     rows = docs.drop("n_lines", "n_removed")
     keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
-    done = keyed.alias("d").join(gone.alias("g"), same("d", "g"), "left").select("_row", "_text", "_gone")
+    done = keyed.alias("d").join(gone.alias("g").hint("merge"), same("d", "g"), "left").select("_row", "_text", "_gone")
     cut = chunked(done.where("_gone IS NOT NULL"), "_text", "_chunks")
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
     cut = cut.select("_row", "_text", F.array_join(F.flatten(kept), "\n").alias("_new"), F.size(F.flatten("_chunks")).alias("_n"), F.size(F.flatten(kept)).alias("_left"))
