@@ -52,7 +52,12 @@ class HashedNgrams:
             return pd.Series(out)
 
         spoken = F.transform(F.filter(token_array, lambda t: t["type"] <= 1), lambda t: t["token"])
-        return encode(spoken)
+        return _with_nan(encode(spoken))
+
+
+def _with_nan(vector: Column) -> Column:
+    """Pandas hands NaN over as null; this makes it NaN again."""
+    return F.transform(vector, lambda x: F.coalesce(x, F.lit(float("nan"))))
 
 
 def _relu(x: np.ndarray) -> np.ndarray:
@@ -266,7 +271,7 @@ class NeuralBundle:
             c, t, m = np.stack(chars).reshape(len(chars), n, MAX_CHARS), np.stack(types), np.stack(numbers)
             return pd.Series(list(pooled_vector(Weights(own.weights(), f"{stage}."), c, t, m)[0]))
 
-        return encode(*self._inputs(token_array))
+        return _with_nan(encode(*self._inputs(token_array)))
 
     def place(self, token_array: Column | str, aff: Column | str) -> Column:
         """Place (from 1) of the designation, 0 for none; ``aff`` is the index of the affiliation as context."""

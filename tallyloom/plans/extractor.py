@@ -120,7 +120,11 @@ class NeuralModel:
         full = padded(token_array, n)
         inputs = [F.flatten(F.transform(full, lambda x: char_ids(x["token"]))), F.transform(full, lambda x: x["type"].cast("int")), F.transform(full, lambda x: x["is_number"].cast("int")), special_ids(full)]
         steps = df.withColumn("_r", stages(*inputs))
-        record = F.struct(*(F.when(F.col("_r.is_union"), designation_decode(token_array, F.col("_r.place"))).alias(f) if f == "designation" else F.col(f"_r.{f}").alias(f) for f in RECORD))
+        special = {
+            "union_score": F.coalesce("_r.union_score", F.lit(float("nan"))),  # pandas hands NaN over as null
+            "designation": F.when(F.col("_r.is_union"), designation_decode(token_array, F.col("_r.place"))),
+        }
+        record = F.struct(*(special.get(f, F.col(f"_r.{f}")).alias(f) for f in RECORD))
         return steps.withColumn("_record", record).drop("_r")
 
 
