@@ -204,8 +204,7 @@ class Pseudonyms:
                 return None
             first = DATE_RANGE[0].toordinal()
             new = dt.date.fromordinal(first + feistel(date.toordinal() - first, DATE_RANGE[1].toordinal() - first, self.key, "date"))
-            day_width, month_width = (len(day) if day[0] == "0" else 1), (len(month) if month[0] == "0" else 1)
-            year, mon, d = f"{new.year:04d}", f"{new.month:0{month_width}d}", f"{new.day:0{day_width}d}"
+            year, mon, d = f"{new.year:04d}", f"{new.month:0{len(month)}d}", f"{new.day:0{len(day)}d}"
             if year_first:
                 return f"{year}{mark}{mon}{mark}{d}"
             month_first = (mark == "/") == (k == 0)
