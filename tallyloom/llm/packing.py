@@ -224,7 +224,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     """
     rows, _ = written(tokenize(with_text(docs, id_col, text_col), tokenizer_path, end_id), "tokens")
     where, _ = written(layout(rows), "layout")
-    placed = rows.select("row_id", "doc_id", "n", "ids").join(where, "row_id")
+    # both sides grow with the documents; a broadcast would only ever fit small tables
+    placed = rows.select("row_id", "doc_id", "n", "ids").join(where.hint("merge"), "row_id")
     id_type = placed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
