@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import written
+from ._shared import drop_written, written
 
 FILTERS_EACH = 48
 PER_FILTER = 8
@@ -116,7 +116,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), dim, np.int32)), pa.array(found), pa.array(ids[which]), pa.array(signs[which, 0]), pa.array(signs[which, 1])], ["dim", "f", "rep", "s1", "s2"])
 
     listed = classes.select("dim", "rep", "v").mapInArrow(filters, "dim int, f long, rep long, s1 long, s2 long")
-    listed, _ = written(listed, "caps")
+    listed, caps_path = written(listed, "caps")
     a, b = listed.alias("a"), listed.alias("b")
     apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     near = (F.col("a.dim") == F.col("b.dim")) & (F.col("a.f") == F.col("b.f")) & (F.col("a.rep") < F.col("b.rep")) & (apart <= SIGN_BITS_APART)
@@ -133,6 +133,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         candidates.join(one, "a").join(two, "b").where(dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb")) >= threshold).select("a", "b", "ca", "cb"),
         "links",
     )
+    drop_written(spark, caps_path)
     degree = linked.select(F.col("a").alias("rep"), F.col("cb").alias("n")).union(linked.select(F.col("b"), F.col("ca"))).groupBy("rep").agg(F.sum("n").alias("others"))
     grouped, _ = components(linked.select("a", "b"))
     result = (

@@ -124,6 +124,58 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SUBSTRINGS_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), k AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), g AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY win) AS c FROM k) WHERE c > 1
+), x AS (
+    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w
+), r AS (
+    SELECT x.doc_id, count(*) AS n, count(g.j) AS gone, string_agg(word, ' ' ORDER BY x.j) FILTER (g.j IS NULL) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY x.doc_id
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+"""
+
+#: Links by comparing all documents that share an n-gram, groups by following links.
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+    SELECT doc_id, ws, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS grams FROM d
+), g AS (
+    SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM s
+), l AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.5 * (min(a.n) + min(b.n) - count(*))
+), r(id, reached) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (
+    SELECT id, min(reached) AS class_id FROM r GROUP BY id
+)
+SELECT s.doc_id, CASE WHEN len(ws) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY array_to_string(ws, ' ')) END AS copy_of,
+    c.class_id, coalesce(k.n_links, 0) AS n_links, s.doc_id = c.class_id AS kept
+FROM s JOIN c ON c.id = s.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = s.doc_id
+"""
+
+_EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95
+), r(id, reached) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (
+    SELECT id, min(reached) AS component_id FROM r GROUP BY id
+)
+SELECT c.id AS vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, c.id = c.component_id AS kept
+FROM c LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = c.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -140,4 +192,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": _TOPK_SQL, "op9_lines": _LINES_SQL}
+    return {"op2_substrings": _SUBSTRINGS_SQL, "op5_jaccard": _JACCARD_SQL, "op6_embeddings": _EMBEDDINGS_SQL, "op7_topk": _TOPK_SQL, "op9_lines": _LINES_SQL}
