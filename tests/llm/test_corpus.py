@@ -317,7 +317,7 @@ def test_pipeline(spark):
         docs, _ = P.written(stage(spark, docs, "/root/testdata/sf0.01"), f"test-{k}")
         assert tuple(docs.columns) == P.COLUMNS
         sizes.append(docs.count())
-    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] == sizes[4]
+    assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] == sizes[4]
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     kept = {r.doc_id for r in docs.select("doc_id").collect()}
     bad = [r.doc_id for r in labels.where("quality = 0").collect()]
