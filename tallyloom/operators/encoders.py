@@ -8,6 +8,8 @@ shapes for tests and timing.
 
 from __future__ import annotations
 
+import os
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -286,3 +288,25 @@ class NeuralBundle:
             return pd.Series(scores.argmax(axis=1).astype(np.int32))
 
         return point(*self._inputs(token_array), special_ids(padded(token_array, n)), F.col(aff) if isinstance(aff, str) else aff)
+
+
+def save_bundle(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes arrays as a compressed ``.npz`` that ``NeuralBundle`` reads."""
+    np.savez_compressed(path, **{k: v.astype(np.float32) for k, v in arrays.items()})
+
+
+def warm_start(arrays: dict[str, np.ndarray], path: str, prefix: str) -> dict[str, np.ndarray]:
+    """``arrays`` with the character CNN below ``prefix`` taken from another bundle's ``char_cnn.``; as it was, with a warning, without one."""
+    found: dict[str, np.ndarray] = {}
+    if os.path.exists(path):
+        with np.load(path, allow_pickle=False) as f:
+            found = {prefix + k[k.index("char_cnn.") :]: f[k].astype(np.float64) for k in f.files if "char_cnn." in k}
+    if not found:
+        warnings.warn(f"no character CNN in {path}; it starts from random values", stacklevel=2)
+    return arrays | {k: v for k, v in found.items() if k in arrays}
+
+
+def cross_entropy(scores: np.ndarray, labels: np.ndarray) -> float:
+    """Mean loss of the right place among scores [b, places], -inf where a place can't be chosen."""
+    top = scores.max(axis=1)
+    return float(np.mean(top + np.log(np.exp(scores - top[:, None]).sum(axis=1)) - scores[np.arange(len(scores)), labels]))

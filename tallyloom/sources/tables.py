@@ -85,3 +85,21 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """(text, aff_abbr, desig_num) as strings: numbers keep their zeros, and a float's ``.0`` goes."""
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False)
     return rows.withColumn("desig_num", F.regexp_replace("desig_num", r"\.0$", ""))
+
+
+def write_errors(errors: DataFrame, path: str) -> bool:
+    """Writes the error report as CSV if there is any error; tells whether it did."""
+    if errors.isEmpty():
+        return False
+    write_csv(errors, path, single_file=False)
+    return True
+
+
+def write_split(split: DataFrame, path: str) -> None:
+    """Writes labelled rows with their ``split`` to a new place: Spark can't overwrite the files that it reads."""
+    split.write.mode("errorifexists").partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The rows of one split; only its folder is read."""
+    return spark.read.parquet(path).where(F.col("split") == split)

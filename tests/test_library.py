@@ -216,3 +216,26 @@ def test_registry_from_sqlite(spark, tmp_path):
         db.execute("CREATE TABLE lm_data (aff_abbr TEXT, desig_num TEXT, f_num INTEGER)")
         db.executemany("INSERT INTO lm_data VALUES (?, ?, ?)", [("A", "1", 2), ("A", "1", 2), ("", "1", 3), ("B", None, 4)])
     assert [tuple(r) for r in S.read_registry_sqlite(spark, str(tmp_path / "r.db")).collect()] == [("A", "1", 2)]
+
+
+def test_bundle_files_and_warm_start(tmp_path):
+    one, two = E.random_bundle(1, hidden=4), E.random_bundle(2, hidden=4)
+    E.save_bundle(str(tmp_path / "a.npz"), {k.removeprefix("union."): v for k, v in one.items() if k.startswith("union.char_cnn.")})
+    warm = E.warm_start(two, str(tmp_path / "a.npz"), "pointer.")
+    assert np.allclose(warm["pointer.char_cnn.project.bias"], one["union.char_cnn.project.bias"], atol=1e-6)
+    assert np.array_equal(warm["union.char_cnn.project.bias"], two["union.char_cnn.project.bias"])
+    with pytest.warns(UserWarning, match="random"):
+        assert E.warm_start(two, str(tmp_path / "none.npz"), "pointer.") == two
+    assert E.NeuralBundle(str(tmp_path / "a.npz")).weights()["char_cnn.project.bias"].shape == (64,)
+
+
+def test_cross_entropy_by_hand():
+    assert abs(E.cross_entropy(np.array([[0.0, 0.0, -np.inf]]), np.array([1])) - np.log(2)) < 1e-12
+
+
+def test_error_and_split_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "test"), ("b", "train")], "text string, split string")
+    S.write_split(rows, str(tmp_path / "split"))
+    assert [r.text for r in S.read_split(spark, str(tmp_path / "split"), "test").collect()] == ["a"]
+    assert not S.write_errors(rows.limit(0), str(tmp_path / "errors")) and S.write_errors(rows, str(tmp_path / "errors"))
+    assert spark.read.csv(str(tmp_path / "errors"), header=True).count() == 2
