@@ -7,16 +7,18 @@ character, which Java's own classes match for some code points only.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD, NUMBER, SPACE, PUNCT, PAD = range(5)
 MAX_TOKENS = 70
 MAX_CHARS = 20
-#: Character ids: 0 pads, 1 unknown, then these in order.
-CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 -/&,.()'\"#:"
 #: Special ids: 0 pads, 1 unknown, 2 to 13 these, then the numbers 0 to 1000.
-MARKS = " -/&,.()'\"#:"
+MARKS = " -/&" + ",.()" + "'\"" + "#:"
+#: Character ids: 0 pads, 1 unknown, then these in order.
+CHARACTERS = string.ascii_lowercase + string.digits + MARKS
 NUMBERS = 1000
 
 _WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

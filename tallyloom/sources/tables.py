@@ -34,7 +34,7 @@ def text_column(names: list[str], wanted: str | None) -> str:
     if len(names) == 1:
         return names[0]
     if wanted is None:
-        raise InputError(f"CSV has multiple columns ({', '.join(names)}); name the one with the texts by -c/--column")
+        raise InputError(f"the file has multiple columns: {', '.join(names)}; name the one with the texts by -c")
     if wanted not in names:
         raise InputError(f"Column {wanted!r} not found among {', '.join(names)}")
     return wanted

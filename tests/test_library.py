@@ -11,6 +11,7 @@ from tallyloom.functions import records as R
 from tallyloom.operators import centroids as C
 from tallyloom.operators import encoders as E
 from tallyloom.operators import evaluate, sampling
+from tallyloom.plans.predict import FIELDS
 from tallyloom.sources import tables as S
 
 
@@ -193,7 +194,7 @@ def test_cli_keeps_columns_and_order(spark, tmp_path, capsys):
     code, out, _ = run_cli(tmp_path, capsys, spark, 'id,name,extra\n1,"IBT, 123",x\n2,,\n3,"say ""hi""",z\n', "-c", "name")
     rows = list(csv.DictReader(io.StringIO(out)))
     assert code == 0 and [r["id"] for r in rows] == ["1", "2", "3"] and [r["name"] for r in rows] == ["IBT, 123", "", 'say "hi"']
-    assert list(rows[0]) == ["id", "name", "extra", "pred_is_union", "pred_aff", "pred_unknown", "pred_desig", "pred_union_score", "pred_fnum", "pred_fnum_multiple"]
+    assert list(rows[0]) == ["id", "name", "extra", *FIELDS]
     assert rows[1]["pred_is_union"] == "False" and rows[1]["pred_union_score"] == "nan" and rows[1]["pred_desig"] == ""
 
 
