@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import with_text, written
+from ._shared import drop_written, with_text, written
 
 SKETCH = 8
 BLOCK_ROWS = 20_000
-_MEMO_WORDS = 700_000
+_MEMO_WORDS = 1_000_000
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -107,11 +107,15 @@ class WordTokenizer:
         if len(memo) > _MEMO_WORDS:
             memo.clear()
         split = [t.encode().split() for t in texts]
+        found = [list(map(memo.get, words)) for words in split]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
         new: set[bytes] = set()
-        for words in split:
-            new |= set(words).difference(memo)
+        for k in lacking:
+            new.update(w for w, ids in zip(split[k], found[k]) if ids is None)
         self.learn(new)
-        return [b"".join(map(memo.__getitem__, words)) + end for words in split]
+        for k in lacking:
+            found[k] = map(memo.__getitem__, split[k])
+        return [b"".join(ids) + end for ids in found]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -189,10 +193,10 @@ def neighbour_graph(rows: DataFrame) -> DataFrame:
 
 
 def layout(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(row_id, block, at): where the row's first token lies in its block of concatenated documents."""
+    """(row_id, block, at): where the row's first token lies in its block of concatenated documents, as a written table."""
     total = rows.count()
     blocks = max(1, -(-total // block_rows))
-    graph, _ = written(neighbour_graph(rows.select("row_id", "sketch")), "graph")
+    graph, graph_path = written(neighbour_graph(rows.select("row_id", "sketch")), "graph")
     near = graph.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("l"))
     nearer = graph.join(near.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("label"))
     ties = graph.groupBy("a").agg(F.collect_list(F.struct("b", "w")).alias("ties"))  # two for each sketch value at most
@@ -213,7 +217,9 @@ def layout(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         n = pdf["n"].to_numpy()[order]
         yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[order], "block": TaskContext.get().partitionId(), "at": np.cumsum(n) - n})
 
-    return nodes.mapInPandas(run, "row_id long, block int, at long")
+    placed, _ = written(nodes.mapInPandas(run, "row_id long, block int, at long"), "layout")
+    drop_written(rows.sparkSession, graph_path)
+    return placed
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     offset 0 without gaps; what is missing to ``length`` at its end is padding.
     """
     rows, _ = written(tokenize(with_text(docs, id_col, text_col), tokenizer_path, end_id), "tokens")
-    where, _ = written(layout(rows), "layout")
+    where = layout(rows)
     # both sides grow with the documents; a broadcast would only ever fit small tables
     placed = rows.select("row_id", "doc_id", "n", "ids").join(where.hint("merge"), "row_id")
     id_type = placed.schema["doc_id"].dataType.simpleString()
