@@ -32,7 +32,7 @@ from ._shared import drop_written, written
 
 SEED = 8
 _BATCH_ROWS = 512
-_MEMO_WORDS = 1_000_000
+_MEMO_WORDS = 400_000
 _BASE_1, _BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
