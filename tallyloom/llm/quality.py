@@ -79,10 +79,10 @@ class RankModel:
     threshold: float
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        return (x[:, :, None] > self.steps[None]).reshape(len(x), -1).astype(np.float64)
+        return (x[:, :, None] > self.steps[None]).reshape(len(x), -1).astype(np.int8)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.expand(x) @ self.weights
+        return self.expand(x).astype(np.float64) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         away = np.clip(self.raw(x) - self.threshold, -40, 40)
@@ -92,14 +92,16 @@ class RankModel:
 
 def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
     """Weights that minimise the mean logistic loss of the differences ``good - bad`` with a ridge."""
-    diff = good - bad
-    w = np.zeros(diff.shape[1])
+    w = np.zeros(good.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        gradient = ridge * w - diff.T @ p / len(diff)
-        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(len(w))
+        gradient, hessian = ridge * w, ridge * np.eye(len(w))
+        for at in range(0, len(good), 2048):  # the differences of all pairs at once would be the driver's largest array
+            diff = good[at : at + 2048].astype(np.float64) - bad[at : at + 2048]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+            gradient -= diff.T @ p / len(good)
+            hessian += (diff * (p * (1 - p))[:, None]).T @ diff / len(good)
         step = np.linalg.solve(hessian, gradient)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -119,7 +121,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, pairs: int = 20_000, steps: int = 7
     expanded = model.expand(x)
     i, j = (rng.permutation(np.resize(rng.permutation(k), pairs)) for k in (good, bad))
     model.weights = bradley_terry(expanded[i], expanded[j], ridge)
-    scores = expanded @ model.weights
+    scores = expanded.astype(np.float64) @ model.weights
     order = np.argsort(scores, kind="stable")
     ranked, right = scores[order], y[order]
     # cut before position k: the bad ones below and the good ones from there on are right
