@@ -11,7 +11,8 @@ again (cycle walking).
 
 Defined results: a null text stays null, an empty one empty, a text without such values unchanged;
 overlapping finds are taken leftmost, then in the order of ``KINDS``; texts are processed whole. Dates
-outside ``DATE_RANGE`` stay. Other columns pass unchanged; ``pii`` is replaced if the input has it.
+outside ``DATE_RANGE`` stay, and so does 127.0.0.1, every machine's name for itself; any other address of
+four octets without leading zeros is replaced by one of its class of first octets. Other columns pass unchanged; ``pii`` is replaced if the input has it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 DATE_RANGE = (dt.date(1900, 1, 1), dt.date(2100, 1, 1))
 ROUNDS = 10
 _MEMO = 100_000
+#: First octets, from and to, of addresses that are permuted among themselves; all others are one class.
+_IPV4_CLASSES = ((0, 1), (127, 128), (224, 240), (240, 256))
+_LOOPBACK = 127 << 24 | 1
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", re.ASCII)
 #: All other kinds start with a digit, "+", "(" or two capitals with two digits.
@@ -177,16 +181,18 @@ class Pseudonyms:
         if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
             return None
 
-        def valid(n: int) -> bool:
-            first = n >> 24
-            return 0 < first < 224 and first != 127
+        def own(n: int) -> tuple[int, int]:
+            return next((c for c in _IPV4_CLASSES if c[0] <= n >> 24 < c[1]), (0, 256))
 
         number = int.from_bytes(bytes(octets), "big")
-        if not valid(number):
-            return None  # local, broadcast and reserved addresses are nobody's
-        while not valid(number := feistel(number, 2**32, self.key, "ipv4")):
-            pass
-        return ".".join(map(str, number.to_bytes(4, "big")))
+        if number == _LOOPBACK:
+            return None
+        kind = low, high = own(number)
+        tweak, start, size = "ipv4" if kind == (0, 256) else f"ipv4:{low}", low << 24, (high - low) << 24
+        while True:
+            number = start + feistel(number - start, size, self.key, tweak)
+            if own(number) == kind and number != _LOOPBACK:
+                return ".".join(map(str, number.to_bytes(4, "big")))
 
     def _date(self, value: str) -> str | None:
         m = _DATE.fullmatch(value)

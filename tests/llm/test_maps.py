@@ -148,6 +148,29 @@ def test_op8_leaves_other_texts_alone(spark):
         assert not re.search(r"@mail\d\.example\.com", texts[r.doc_id]) or r.n_replaced
 
 
+def test_every_address_is_replaced_by_one_of_its_class():
+    own = pii.Pseudonyms(b"k")
+    given = [f"{a}.{b}.{c}" for a in range(256) for b, c in (("0.0", 0), ("40.198", 62), ("255.255", 255))]
+    got = {a: own.replace("ipv4", a) for a in given}
+    assert None not in got.values() and len({*got.values()}) == len(given) and not any(a == b for a, b in got.items())
+    assert "127.0.0.1" not in got.values()
+    for a, b in got.items():
+        first, new = int(a.split(".")[0]), int(b.split(".")[0])
+        same = [range(0, 1), range(127, 128), range(224, 240), range(240, 256)]
+        assert [first in r for r in same] == [new in r for r in same], (a, b)
+
+
+def test_op8_leaves_no_address(spark):
+    sf, gone = "/root/testdata/sf0.01", 0
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in Q.op8_pii(spark, sf).collect():
+        for address in re.findall(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])", texts[r.doc_id]):
+            if all(str(int(x)) == x and int(x) < 256 for x in address.split(".")) and address != "127.0.0.1":
+                gone += 1
+                assert address not in r.text, (r.doc_id, address)
+    assert gone > 20
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     scored = Q.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
