@@ -28,9 +28,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines; a document of which nothing is left, a copy to its last line, goes."""
-    cut = line_dedup.dedup_lines(docs)
-    return _as_documents(cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
+    """Texts without repeated passages of lines; a document of which nothing is left, a copy to its last line, goes."""
+    cut = line_dedup.dedup_passages(docs)
+    return _as_documents(cut.where((F.col("n_removed") == 0) | (F.translate("text", "\n ", "") != "")))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,6 +88,61 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(*((F.col("_new") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in rows.columns), "n_lines", "n_removed")
 
 
+def windowed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``_lines``, ``_places`` of those with more than spaces, and ``_windows``: texts from each of those to the next one."""
+    steps = docs.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    steps = steps.withColumn("_places", F.array_compact(F.transform("_lines", lambda x, i: F.when(F.trim(x) != "", i))))
+    pairs = F.zip_with(F.slice("_places", 1, F.greatest(F.size("_places") - 1, F.lit(0))), F.slice("_places", 2, F.size("_places")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    steps = steps.withColumn("_pairs", pairs)
+    return steps.withColumn("_windows", F.transform("_pairs", lambda p: F.array_join(F.slice("_lines", p["a"] + 1, p["b"] - p["a"] + 1), "\n"))).drop("_pairs")
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` as of ``dedup_lines``, but without any passage of two lines or more that occurs before, however short.
+
+    Every line that holds more than spaces makes a window with the next such line, and the blank ones between
+    them. A window that occurs more than once keeps its first occurrence (least id, then least place), whole;
+    all other lines of its later ones go. No border has to fall right, so no passage is missed.
+    """
+    key = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_th", F.xxhash64("_text"))
+    hashes = F.transform("_windows", lambda t: F.struct(F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2")))
+    hashed = windowed(key, "_text").select("_id", "_th", F.posexplode(hashes).alias("_k", "_h")).select("_id", "_th", "_k", "_h.*")
+    hashed, _ = written(hashed, "windows")
+    groups = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_k")).alias("_first")).where("_n > 1").drop("_n")
+    is_first = F.struct("_id", "_th", "_k").eqNullSafe(F.col("_first"))
+    asked, _ = written(hashed.join(groups.hint("merge"), ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
+
+    def same(a: str, b: str) -> Column:
+        return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
+
+    wanted = asked.groupBy("_id", "_th").agg(F.collect_set(F.struct("_k", "_h1", "_h2", "_is_first")).alias("_wanted"))
+    held = key.alias("d").join(wanted.alias("w").hint("merge"), same("d", "w")).select("d._id", "d._th", "_text", "_wanted")
+    held = windowed(held, "_text").select("_id", "_th", F.explode(F.transform("_wanted", lambda w: F.struct(w.alias("w"), F.get("_windows", w["_k"]).alias("t")))).alias("c"))
+    held = held.select("_id", "_th", "c.w.*", "c.t")
+    firsts = held.where("_is_first").groupBy("_h1", "_h2").agg(F.first("t").alias("_t"))
+    known = held.where("NOT _is_first").join(firsts.hint("merge"), ["_h1", "_h2"]).where("t = _t").select("_id", "_th", "_k", "_is_first")
+    known = known.union(asked.where("_is_first").select("_id", "_th", "_k", "_is_first"))
+    sets = (F.collect_set(F.when(F.col("_is_first") == first, F.col("_k"))).alias(name) for first, name in ((False, "_gone"), (True, "_stay")))
+    gone, _ = written(known.groupBy("_id", "_th").agg(*sets).where(F.size("_gone") > 0), "gone")
+
+    rows = docs.drop("n_lines", "n_removed")
+    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
+    done = keyed.alias("d").join(gone.alias("g").hint("merge"), same("d", "g"), "left").select("_row", "_text", "_gone", "_stay")
+    cut = windowed(done.where("_gone IS NOT NULL"), "_text")
+
+    def lines_of(windows: str) -> Column:
+        return F.flatten(F.transform(windows, lambda k: F.sequence(F.get("_places", k), F.get("_places", k + 1))))
+
+    cut = cut.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.array_except(lines_of("_gone"), lines_of("_stay"))))
+    text = F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
+    cut = cut.select("_row", text.alias("_new"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"))
+    whole = F.coalesce("_text", F.lit(""))
+    lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    left = done.where("_gone IS NULL").select("_row", whole.alias("_new"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    out = left.union(cut)
+    return out.select(*((F.col("_new") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in rows.columns), "n_lines", "n_removed")
+
+
 #: DuckDB SQL of (doc_id, text, n_lines, n_removed) for a table; line feeds are chr(10).
 ORACLE_SQL = """
 WITH l AS (

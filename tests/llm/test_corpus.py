@@ -167,6 +167,49 @@ def test_lines_against_sql(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def passages(docs):
+    """Lines left by definition: windows of successive lines with more than spaces, in the order of ids."""
+    split = {i: (t or "").split("\n") for i, t in docs}
+    seen, first, later = set(), collections.defaultdict(set), collections.defaultdict(set)
+    every = []
+    for i in sorted(split):
+        shown = [k for k, x in enumerate(split[i]) if x.strip(" ")]
+        every += [(i, a, b, "\n".join(split[i][a : b + 1])) for a, b in zip(shown, shown[1:])]
+    often = collections.Counter(w[3] for w in every)
+    for i, a, b, text in every:
+        if often[text] > 1:
+            (later if text in seen else first)[i].update(range(a, b + 1))
+        seen.add(text)
+    return sorted((i, "\n".join(x for k, x in enumerate(split[i]) if k not in later[i] - first[i]), len(split[i]), len(later[i] - first[i])) for i in split)
+
+
+def test_passages_by_definition(spark):
+    rng = random.Random(4)
+    pool = ["", " ", "alpha", "beta", "gamma", "delta", "é"]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    docs += [(80, None), (81, ""), (82, "\n\n"), (84, "one\n" * 2000), (85, "one\none\ntwo")]
+    got = line_dedup.dedup_passages(frame(spark, docs).withColumn("_text", F.lit(1)).withColumn("n_lines", F.lit("x")))
+    assert got.columns == ["doc_id", "text", "_text", "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == passages(docs)
+    assert line_dedup.dedup_passages(frame(spark, [])).count() == 0
+    twice = line_dedup.dedup_passages(frame(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "b\nc"), (2, "x\na\nb")])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in twice) == [("1", "a\nb"), ("1", "a\nb"), ("2", "x"), ("None", "b\nc")]
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString().replace("LogicalRDD", ""))
+
+
+def test_pipeline_cuts_planted_passages_wholly(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    line = lambda: " ".join(str(rng.random()) for _ in range(6))
+    planted = [[line() for _ in range(2 + k % 8)] for k in range(80)]
+    docs = [(i, "\n".join([line()] * (i % 3) + planted[i % 80] + [line() for _ in range(1 + i % 2)])) for i in range(160)]
+    rows = frame(spark, docs).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    left = {r.doc_id: r.text for r in P.cut_lines(spark, rows, "").collect()}
+    assert all(x in left[i] for i in range(80) for x in planted[i])
+    assert not any(x in left.get(i, "") for i in range(80, 160) for x in planted[i % 80])
+
+
 def test_lines_run_no_python(spark):
     plan = line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
