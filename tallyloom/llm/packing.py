@@ -1,9 +1,12 @@
 """Packing of related documents into training sequences.
 
-A sketch of each document (the smallest hashes of its token pairs) gives the nearest-neighbour graph: the
-rows that hold one sketch value are put in order, and neighbours in that order become an edge, whose
-weight is the number of values that tie the two documents. A value that many documents hold so yields as
-many edges as documents, not as many as pairs. Documents are dealt into blocks by the least id near them
+A sketch of each document (the ``SKETCH`` smallest hashes of its token pairs) gives the neighbour graph: the
+rows that hold one sketch value are put in order of the least hash of their other values, under a hash
+function of that value's own, so that rows that share more stand together more often. A row meets the
+``REACH`` rows on either side; an edge's weight is the number of values at which two rows met, and each row
+keeps the ``BEST`` heaviest. A value that many documents hold so yields edges in proportion to the
+documents, not to their pairs. The graph is approximate: nearly all near copies are linked to their
+nearest, documents with little in common mostly aren't; and edges into other blocks aren't walked. Documents are dealt into blocks by the least id near them
 in the graph, in ranges of (that id, own id), so a hot group is split like any other. In each block paths
 are walked greedily: start at the unvisited document of lowest degree, go on to the unvisited neighbour
 with the heaviest edge (of lowest degree, then least id, among equals), start anew when there is none.
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 
 from ._shared import drop_written, with_text, written
 
-SKETCH = 8
+SKETCH = 24
+#: Rows on either side that a row meets at a sketch value, ties kept of a row, and those that choose its block.
+REACH, BEST, LABEL_TIES = 3, 16, 4
 BLOCK_ROWS = 20_000
 _MEMO_WORDS = 1_000_000
 _LOADED: dict[str, "WordTokenizer"] = {}
@@ -175,21 +180,44 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, f"row_id long, doc_id {id_type}, n long, ids binary, sketch array<bigint>")
 
 
+def rekeyed(values: np.ndarray) -> np.ndarray:
+    """For each sketch value the least hash of the others under a hash function of its own."""
+    mixed = values.astype(np.uint64)[:, None] ^ values.astype(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(32)).astype(np.int64)
+    np.fill_diagonal(mixed, np.iinfo(np.int64).max)
+    return mixed.min(axis=1)
+
+
 def neighbour_graph(rows: DataFrame) -> DataFrame:
-    """Both directions (a, b, w) of the edges between rows that stand side by side at a sketch value."""
-    held = rows.select(F.explode("sketch").alias("s"), "row_id")
-    held = held.repartitionByRange("s", "row_id").sortWithinPartitions("s", "row_id")
+    """(a, ties): the ``BEST`` rows (w, b) that share most sketch values with row a, among those near it at a value."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sketch")
+            values = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            if len(values):
+                keys = np.concatenate([rekeyed(x) for x in np.split(values, np.cumsum(sizes)[:-1]) if len(x)])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(keys), pa.array(np.repeat(batch.column("row_id").to_numpy(), sizes))], ["s", "k", "row_id"])
+
+    held = rows.select("row_id", "sketch").mapInArrow(keyed, "s long, k long, row_id long")
+    held = held.repartitionByRange("s", "k", "row_id").sortWithinPartitions("s", "k", "row_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_s, last_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            s, i = np.concatenate([last_s, batch.column(0).to_numpy()]), np.concatenate([last_id, batch.column(1).to_numpy()])
-            same = np.flatnonzero(s[1:] == s[:-1])
-            last_s, last_id = s[-1:], i[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(i[same]), pa.array(i[same + 1])], ["a", "b"])
+            old = len(last_s)
+            s, i = np.concatenate([last_s, batch.column(0).to_numpy()]), np.concatenate([last_id, batch.column(2).to_numpy()])
+            met = [(i[same], i[same + d]) for d in range(1, REACH + 1) for same in [np.flatnonzero(s[d:] == s[:-d])] for same in [same[same + d >= old]]]
+            last_s, last_id = s[-REACH:], i[-REACH:]
+            a, b = (np.concatenate(x) for x in zip(*met))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     edges = held.mapInArrow(run, "a long, b long").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
-    return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    # no more than 2 * REACH for each sketch value are collected
+    return both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "b")), asc=False), 1, BEST).alias("ties"))
 
 
 def layout(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -197,10 +225,10 @@ def layout(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     total = rows.count()
     blocks = max(1, -(-total // block_rows))
     graph, graph_path = written(neighbour_graph(rows.select("row_id", "sketch")), "graph")
-    near = graph.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("l"))
-    nearer = graph.join(near.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("label"))
-    ties = graph.groupBy("a").agg(F.collect_list(F.struct("b", "w")).alias("ties"))  # two for each sketch value at most
-    nodes = rows.select("row_id", "n").join(nearer.join(ties, "a").withColumnRenamed("a", "row_id"), "row_id", "left")
+    closest = F.transform(F.slice("ties", 1, LABEL_TIES), lambda t: t["b"])
+    near = graph.select("a", closest.alias("bs")).select("a", "bs", F.least("a", F.array_min("bs")).alias("l"))
+    nearer = near.select("a", F.explode("bs").alias("b")).join(near.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("label"))
+    nodes = rows.select("row_id", "n").join(nearer.join(graph, "a").withColumnRenamed("a", "row_id"), "row_id", "left")
     nodes = nodes.withColumn("label", F.coalesce("label", "row_id")).repartitionByRange(blocks, "label", "row_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

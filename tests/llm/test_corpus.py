@@ -106,6 +106,17 @@ def test_related_documents_are_neighbours(spark):
     assert sum(a == b for a, b in zip(order, order[1:])) >= 30
 
 
+def test_relation_counts_more_than_shared_boilerplate(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = " ".join(word() for _ in range(60))
+    bases = [" ".join(word() for _ in range(60)) for _ in range(100)]
+    docs = [(i + 100 * k, f"{common} {b} tail{k}") for k in range(2) for i, b in enumerate(bases)]
+    pieces = packing.pack(frame(spark, docs), vocabulary("word_bpe_49k.json")).collect()
+    order = [r.doc_id % 100 for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert sum(a == b for a, b in zip(order, order[1:])) >= 90
+
+
 def test_walk_prefers_low_degree_and_heavy_edges():
     graph = [{1: 1}, {0: 1, 2: 5, 3: 1}, {1: 5}, {1: 1}, {}]
     assert packing.walk(np.arange(5), graph) == [4, 0, 1, 2, 3]
