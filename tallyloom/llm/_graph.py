@@ -39,6 +39,8 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components haven't converged in {_MOST_ROUNDS} rounds")
     # converged: every id but the least of a component has one edge, to that least id
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), [path]

@@ -49,6 +49,12 @@ def test_components_by_union_find(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint"))[0].count() == 0
 
 
+def test_components_that_do_not_converge_raise(spark, monkeypatch):
+    monkeypatch.setattr("tallyloom.llm._graph._MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="converged"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint"))
+
+
 # -- packing
 
 
