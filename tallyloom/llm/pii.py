@@ -9,8 +9,12 @@ in every document, and different values to different ones, so records stay linke
 looked up in a table. Where a permutation would leave its set, it is repeated until it is in the set
 again (cycle walking).
 
+A telephone number is its country code, told from its digits alone, and the rest; one in North American writing without a
+code has the code 1, and a trunk zero in brackets stays. So a number has one pseudonym in all its writings.
+
 Defined results: a null text stays null, an empty one empty, a text without such values unchanged;
-overlapping finds are taken leftmost, then in the order of ``KINDS``; texts are processed whole. Dates
+overlapping finds are taken leftmost, then in the order of ``KINDS``, valid ones only; texts are processed whole; equal rows
+and rows of one id are changed alike, an empty table gives an empty one. Dates
 outside ``DATE_RANGE`` stay, and so does 127.0.0.1, every machine's name for itself; any other address of
 four octets without leading zeros is replaced by one of its class of first octets. Other columns pass unchanged; ``pii`` is replaced if the input has it.
 """
@@ -40,11 +44,14 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![
 _CARD = re.compile(r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])", re.ASCII)
 _SSN = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])", re.ASCII)
 _PHONE = re.compile(
-    r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
+    r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)(?:[ .-]?[0-9]{2,4}){2,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
     re.ASCII,
 )
 _IPV4 = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", re.ASCII)
 _DATE = re.compile(r"(?<![0-9A-Za-z./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9A-Za-z]|[./-][0-9])", re.ASCII)
+_PATTERNS = (_EMAIL, _IBAN, _CARD, _SSN, _PHONE, _IPV4, _DATE)
+#: Country codes of one and two digits; all others have three.
+_SHORT_CODES = {*"17"} | {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 _DIGIT_RUN = re.compile(r"[0-9][0-9 ().+-]{5}|[0-9][-/.][0-9]", re.ASCII)
 
 
@@ -95,14 +102,20 @@ def iban_ok(compact: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
-def _iban_end(m: re.Match) -> int:
-    """Where the longest valid number ends that starts at the match and ends with a group; 0 without one."""
-    text = m.group()
-    while not iban_ok(text.replace(" ", "")):
-        text = text[: max(text.rfind(" "), 0)]
-        if len(text) < 15:
-            return 0
-    return m.start() + len(text)
+def _ends(value: str, least: int) -> Iterator[str]:
+    """``value`` and what is left of it as groups go from its end, down to ``least`` characters."""
+    while len(value) >= least:
+        yield value
+        value = value[: max(value.rfind(" "), value.rfind("-"), 0)]
+
+
+def _cuts(k: int, found: str) -> list[str]:
+    """What may be the value at the start of a match of kind ``k``: numbers with checks or of known length may end sooner than the pattern."""
+    if k in (1, 2):
+        return list(_ends(found, 15 if k == 1 else 13))
+    if k == 4 and found[:2] == "+1":
+        return [v for v in _ends(found, 12) if sum(map(str.isdigit, v)) == 11][:1] or [found]
+    return [found]
 
 
 def _same_places(original: str, new: str) -> str:
@@ -168,13 +181,13 @@ class Pseudonyms:
         return _same_places(value, f"{number:09d}")
 
     def _phone(self, value: str) -> str | None:
-        digits = re.sub("[^0-9]", "", value)
+        marked = value.replace("(0)", "(*)") if value[0] == "+" else value
+        digits = re.sub("[^0-9]", "", marked)
         if not 7 <= len(digits) <= 15:
             return None
-        code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-        head = code.group()[1:] if code else ""
-        rest = digits[len(head) :]
-        return _same_places(value, head + _digits(rest, self.key, f"phone:{head}")) if rest else None
+        code = "1" if value[0] != "+" else next((digits[:k] for k in (1, 2) if digits[:k] in _SHORT_CODES), digits[:3])
+        head = code if value[0] == "+" else ""
+        return _same_places(marked, head + _digits(digits[len(head) :], self.key, f"phone:{code}")).replace("(*)", "(0)")
 
     def _ipv4(self, value: str) -> str | None:
         octets = [int(x) for x in value.split(".")]
@@ -219,24 +232,35 @@ class Pseudonyms:
 
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what was replaced, in the given text."""
-        found: list[tuple[int, int, int, str, str]] = []
-        if "@" in text:
-            found += [(m.start(), 0, m.end(), "email", m.group()) for m in _EMAIL.finditer(text)]
-        if _DIGIT_RUN.search(text):
-            found += [(m.start(), 1, end, "iban", text[m.start() : end]) for m in _IBAN.finditer(text) if (end := _iban_end(m))]
-            found += [
-                (m.start(), k, m.end(), kind, m.group())
-                for k, (kind, pattern) in enumerate((("card", _CARD), ("ssn", _SSN), ("phone", _PHONE), ("ipv4", _IPV4), ("date", _DATE)), 2)
-                for m in pattern.finditer(text)
-            ]
+        able = [k for k in range(len(KINDS)) if ("@" in text if k == 0 else True)]
+        if not _DIGIT_RUN.search(text):
+            able = [k for k in able if k == 0]
+        ahead = {k: (-1, -1, "") for k in able}  # each kind's next valid find
         out, spans, end = [], [], 0
-        for start, _, stop, kind, value in sorted(found):
-            if start >= end and (new := self.replace(kind, value)) is not None:
+        while ahead:
+            for k in [k for k, find in ahead.items() if find[0] < end]:
+                find = self._next(k, text, end)
+                if find is None:
+                    del ahead[k]
+                else:
+                    ahead[k] = find
+            if ahead:
+                k = min(ahead, key=lambda k: (ahead[k][0], k))
+                start, stop, new = ahead[k]
                 out += [text[end:start], new]
-                spans.append((kind, start, stop))
+                spans.append((KINDS[k], start, stop))
                 end = stop
         return ("".join([*out, text[end:]]), spans) if spans else (text, spans)
 
+    def _next(self, k: int, text: str, at: int) -> tuple[int, int, str] | None:
+        """The first valid find of kind ``k`` from ``at`` on: start, end and pseudonym."""
+        while (m := _PATTERNS[k].search(text, at)) is not None:
+            for value in _cuts(k, m.group()):
+                if (new := self.replace(KINDS[k], value)) is not None:
+                    return m.start(), m.start() + len(value), new
+            at = m.start() + 1
+        return None
+
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Replaces personal data in ``text_col`` and adds ``pii``, an array of (kind, start, end) in the text given."""

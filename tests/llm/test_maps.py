@@ -126,6 +126,52 @@ def test_pseudonyms_keep_formats_and_links():
     assert own.replace("phone", "+1 (555) 0102030") .replace("-", "") == own.replace("phone", values["phone"]).replace("-", "")
 
 
+def test_a_telephone_number_has_one_pseudonym_in_all_writings():
+    own = pii.Pseudonyms(b"k")
+    for same in (
+        ["+15550102030", "+1 555 010 2030", "+1-555-010-2030", "+1 (555) 010-2030", "(555) 010-2030", "555-010-2030", "555.010.2030"],
+        ["+442079460958", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+44-20-7946-0958"],
+        ["+4930901820", "+49 30 901820", "+49 (30) 901 820"],
+        ["+3531234567", "+353 12 345 67"],
+    ):
+        got = [own.text(x) for x in same]
+        assert all([s[0] for s in spans] == ["phone"] for _, spans in got), got
+        code = re.match(r"\+(?:1|44|49|353)", same[0]).group()[1:]
+        digits = {(re.sub("[^0-9]", "", t.replace("(0)", "")).removeprefix(code) if t[0] == "+" else re.sub("[^0-9]", "", t)) for t, _ in got}
+        assert len(digits) == 1 and digits != {re.sub("[^0-9]", "", same[0]).removeprefix(code)}
+        assert all(t.startswith("+" + code) for t, _ in got if t[0] == "+")
+    assert own.text("+1 555 010 2030 20 of")[0] == own.text("+1 555 010 2030")[0] + " 20 of"
+
+
+def by_definition(own, text):
+    """At each place the first kind that has a valid value there; what is longest first, of those that may be cut."""
+    out, at, spans = "", 0, []
+    while at < len(text):
+        for k, kind in enumerate(pii.KINDS):
+            m = pii._PATTERNS[k].match(text, at)
+            ends = [m.end(), *(e for e in range(m.end() - 1, at, -1) if text[e] in " -" and text[e - 1] not in " -")] if m else []
+            if kind == "phone" and text[at : at + 2] == "+1":
+                ends = [e for e in ends if len(re.findall("[0-9]", text[at:e])) == 11][:1] or ends[:1]
+            elif kind not in ("iban", "card"):
+                ends = ends[:1]
+            new = [(e, n) for e in ends if (kind not in ("iban", "card") or e - at >= 13) and (n := own.replace(kind, text[at:e])) is not None]
+            if new:
+                out, spans, at = out + new[0][1], spans + [(kind, at, new[0][0])], new[0][0]
+                break
+        else:
+            out, at = out + text[at], at + 1
+    return out, spans
+
+
+def test_texts_by_definition(spark):
+    rng, own = random.Random(3), pii.Pseudonyms(b"k")
+    parts = ["4111 1111 1111 1111", "4111111111111111", "5", "20", " ", " ", "-", ".", "+", "(", ")", "/", "555-010-2030", "+1 555 010 2030", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "1.2.3.4", "248.40.198.62", "127.0.0.1", "1999-12-31", "31.12.1999", "2/30/2001", "123-45-6789", "a.b@c.example", "@", "x", "é", "\n", "0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(6000)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for text in texts:
+        assert own.text(text) == by_definition(own, text), text
+
+
 def test_invalid_values_and_plain_texts_stay():
     own = pii.Pseudonyms(b"k")
     for text in ["4111 1111 1111 1112", "1999-02-30", "300.1.1.1", "version 1.2.3", "000-12-3456", "127.0.0.1", "call 12", "a@b", "x" * 100_000, "2020", "3.14159265358979"]:
