@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .plans.extractor import CentroidModel, Extractor
+from .plans.extractor import Extractor, encoder_batches, load_model
 from .plans.predict import predict
 from .sources.tables import InputError, read_csv, read_lines, read_lookup, text_column, write_csv
 
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", "--column", help="column with the names, where there are several")
     p.add_argument("-o", "--output", default="-", help="CSV file, - for standard output")
     p.add_argument("--batch-size", type=int, default=256, help="rows in a batch of the encoder")
-    p.add_argument("--model", required=True, help="JSON file of centroids")
+    p.add_argument("--model", required=True, help="JSON file of centroids, with the path of a bundle for a trained model")
     p.add_argument("--lookup", help="Parquet table (aff, desig, fnums)")
     p.add_argument("--union-threshold", type=float, default=0.5)
     p.add_argument("--affiliation-threshold", type=float, default=0.80)
@@ -35,7 +35,6 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         print("error: --no-header cannot be used with -c/--column", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("tallyloom").getOrCreate()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(args.batch_size))
     work = Path(tempfile.mkdtemp(prefix="tallyloom-"))  # for standard input and the one output file, on the driver alone
     try:
         path = args.input
@@ -45,9 +44,10 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         rows = read_lines(spark, path) if args.no_header else read_csv(spark, path)
         names = rows.columns[1:]
         text = names[0] if args.no_header else text_column(names, args.column)
-        extractor = Extractor(CentroidModel.load(args.model), args.union_threshold, args.affiliation_threshold)
+        extractor = Extractor(load_model(args.model), args.union_threshold, args.affiliation_threshold)
         done = predict(rows, extractor, read_lookup(spark, args.lookup) if args.lookup else None, text)
-        write_csv(done, str(work / "out"))
+        with encoder_batches(spark, args.batch_size):
+            write_csv(done, str(work / "out"))
         parts = sorted((work / "out").glob("part-*"))
         if args.output == "-":
             for part in parts:

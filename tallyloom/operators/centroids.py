@@ -11,6 +11,13 @@ from ..functions.vectors import dot, l2_normalise
 LIMIT_LITERALS = 4096
 
 
+def vector_sums(df: DataFrame, class_col: str, vector_col: str, dim: int) -> DataFrame:
+    """(class, n, sums) of vectors of ``dim`` components, without exploding them: one sum for each component in each task."""
+    v = F.col(vector_col)
+    sums = df.where(v.isNotNull()).groupBy(F.col(class_col).alias("class")).agg(F.count("*").alias("n"), *(F.sum(F.get(v, F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)))
+    return sums.select("class", "n", F.array(*(F.col(f"_s{i}") for i in range(dim))).alias("sums"))
+
+
 def mean_vectors(df: DataFrame, class_col: str, vector_col: str, classes: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """(class, n, centroid): the mean of each class's vectors, brought to length one.
 
@@ -47,8 +54,8 @@ def nearest_centroid(df: DataFrame, key_col: str, vector_col: str, centroids: Da
     """``df`` with ``nearest``, ``similarity`` and, with a threshold, ``accepted`` (null below it).
 
     ``centroids`` (class, centroid) are few; their number is checked before they are turned into one literal
-    array, so that top-1 is a narrow expression. More of them are compared in a join whose row count is
-    classes times rows, reduced by partial maxima. Ties go to the first class by name.
+    array, so that top-1 is a narrow expression. More of them are compared in blocks of ``LIMIT_LITERALS``, every row with
+    every block, reduced by partial minima; rows of equal key stay apart. Ties go to the first class by name.
     """
     if centroids.limit(LIMIT_LITERALS + 1).count() <= LIMIT_LITERALS:
         rows = centroids.orderBy("class").select("class", "centroid").collect()
@@ -57,9 +64,12 @@ def nearest_centroid(df: DataFrame, key_col: str, vector_col: str, centroids: Da
         out = df.withColumn("_best", best if rows else F.lit(None).cast("struct<s:double,back:int,class:string>"))
         out = out.withColumn("nearest", F.col("_best.class")).withColumn("similarity", F.col("_best.s")).drop("_best")
     else:
-        blocks = centroids.withColumn("_k", F.pmod(F.xxhash64("class"), F.lit(64))).groupBy("_k").agg(F.collect_list(F.struct("class", "centroid")).alias("_cs"))
-        asked = df.select(key_col, vector_col).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")))
-        scored = asked.join(blocks, "_k").select(key_col, F.array_max(F.transform("_cs", lambda c: F.struct(dot(vector_col, c["centroid"]).alias("s"), c["class"].alias("class")))).alias("b"))
-        best = scored.groupBy(key_col).agg(F.max_by("b.class", "b.s").alias("nearest"), F.max("b.s").alias("similarity"))
-        out = df.join(best, key_col, "left")
+        # as few blocks as hold LIMIT_LITERALS classes each: every row meets every block once
+        blocks = -(-centroids.count() // LIMIT_LITERALS)
+        held = centroids.withColumn("_k", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")).groupBy("_k").agg(F.collect_list(F.struct("class", "centroid")).alias("_cs"))
+        asked = df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # the least of (-similarity, class): the most similar, then the first by name
+        met = F.array_min(F.transform("_cs", lambda c: F.struct((-dot(F.col("_row")[vector_col], c["centroid"])).alias("s"), c["class"].alias("class"))))
+        best = asked.join(held, "_k").select("_uid", "_row", met.alias("_b")).groupBy("_uid").agg(F.first("_row").alias("_row"), F.min("_b").alias("_b"))
+        out = best.select("_row.*", F.col("_b.class").alias("nearest"), (-F.col("_b.s")).alias("similarity"))
     return out if threshold is None else out.withColumn("accepted", accept("similarity", "nearest", threshold))

@@ -36,6 +36,7 @@ class HashedNgrams:
     def __call__(self, token_array: Column | str) -> Column:
         dim = self.dim
 
+        # not deterministic to the planner, which would else run it again for a filter on its result
         @F.pandas_udf("array<double>")
         def encode(words: pd.Series) -> pd.Series:
             out = []
@@ -54,7 +55,7 @@ class HashedNgrams:
             return pd.Series(out)
 
         spoken = F.transform(F.filter(token_array, lambda t: t["type"] <= 1), lambda t: t["token"])
-        return _with_nan(encode(spoken))
+        return _with_nan(encode.asNondeterministic()(spoken))
 
 
 def _with_nan(vector: Column) -> Column:
@@ -275,6 +276,19 @@ class NeuralBundle:
 
         return _with_nan(encode(*self._inputs(token_array)))
 
+    def attention(self, token_array: Column | str, stage: str) -> Column:
+        """The weights of a text's ``max_tokens`` places in the pooling of ``stage``, averaged over the heads; NaN without tokens."""
+        own, n = self, self.max_tokens
+
+        @F.pandas_udf("array<double>")
+        def attend(chars: pd.Series, types: pd.Series, numbers: pd.Series) -> pd.Series:
+            if not len(chars):
+                return pd.Series([], dtype=object)
+            c, t, m = np.stack(chars).reshape(len(chars), n, MAX_CHARS), np.stack(types), np.stack(numbers)
+            return pd.Series(list(pooled_vector(Weights(own.weights(), f"{stage}."), c, t, m)[1]))
+
+        return _with_nan(attend(*self._inputs(token_array)))
+
     def place(self, token_array: Column | str, aff: Column | str) -> Column:
         """Place (from 1) of the designation, 0 for none; ``aff`` is the index of the affiliation as context."""
         own, n = self, self.max_tokens

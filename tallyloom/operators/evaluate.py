@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.records import predicted_number, true_number
 
+#: Ranges of scores in which a curve's running sums are taken side by side.
+BANDS = 200
 RATIOS = {
     "aff_accuracy": ("aff_correct", "total"),
     "aff_non_none_accuracy": ("aff_non_none_correct", "aff_non_none_total"),
@@ -70,10 +72,10 @@ def roc_curve(df: DataFrame, score: str, positive: str) -> DataFrame:
     """
     counts = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
     # bands of equal counts, cut at approximate quantiles; one row of a few numbers
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [k / 32 for k in range(1, 32)], 1000).alias("c"))
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [k / BANDS for k in range(1, BANDS)], 10 * BANDS).alias("c"))
     banded = counts.join(F.broadcast(cuts)).withColumn("band", F.coalesce(F.size(F.filter("c", lambda x: x < F.col("threshold"))), F.lit(0))).drop("c")
     sums = banded.groupBy("band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    down = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 32 rows at most
+    down = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # BANDS rows at most
     over = sums.select("band", (F.sum("bp").over(down) - F.col("bp")).alias("p0"), (F.sum("bn").over(down) - F.col("bn")).alias("n0"), F.sum("bp").over(Window.partitionBy(F.lit(0))).alias("all_p"), F.sum("bn").over(Window.partitionBy(F.lit(0))).alias("all_n"))
     within = Window.partitionBy("band").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     curve = banded.join(F.broadcast(over), "band").withColumn("tp", F.col("p0") + F.sum("p").over(within)).withColumn("fp", F.col("n0") + F.sum("n").over(within))

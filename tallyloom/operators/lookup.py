@@ -22,12 +22,12 @@ def build_lookup(registry: DataFrame, aff: str = "aff_abbr", desig: str = "desig
 def lookup(df: DataFrame, table: DataFrame, aff: str = "affiliation", desig: str = "designation", out_col: str = "fnums", small_rows: int = 1_000_000) -> DataFrame:
     """Adds ``out_col``, the list of each row's key; empty for a miss and for empty or null keys.
 
-    The table's keys are unique, so rows don't multiply. It is broadcast only if it has at most
-    ``small_rows`` rows; beyond that the planner joins by shuffle.
+    The table's keys are unique, so rows don't multiply. No hint is given: the adaptive planner broadcasts the table if its bytes, as
+    measured when it has been made, are below the session's threshold, and joins by shuffle else; with ``small_rows`` 0 always.
     """
     side = table.select(F.col("aff").alias("_aff"), F.col("desig").alias("_desig"), F.col("fnums").alias("_fnums"))
-    if table.limit(small_rows + 1).count() <= small_rows:
-        side = F.broadcast(side)
+    if not small_rows:
+        side = side.hint("merge")
     keys = (F.nullif(F.col(aff), F.lit("")) == F.col("_aff")) & (F.nullif(F.col(desig), F.lit("")) == F.col("_desig"))
     return df.join(side, keys, "left").withColumn(out_col, F.coalesce("_fnums", F.array().cast("array<bigint>"))).drop("_aff", "_desig", "_fnums")
 

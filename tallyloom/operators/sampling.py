@@ -50,6 +50,20 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, fraction: float
     return placed.withColumn("split", F.when(excluded, "exclude").when(test, "test").otherwise("train")).drop("_h", "_bucket", "_class", "_b", "_before", "_all")
 
 
+def full_batches(df: DataFrame, id_col: str, size: int, seed: int = 104729) -> DataFrame:
+    """``df`` with ``batch``: rows in the order of the hash, ``size`` in each batch; those that don't fill a last one are dropped.
+
+    A row's place is found in two levels, by buckets of the hash and inside them, so nothing is sorted in one task.
+    """
+    rows = df.withColumn("_h", arithmetic_hash(id_col, seed)).withColumn("_bucket", F.floor(F.col("_h") / 1000).cast("int"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 1,001 rows
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    placed = rows.join(F.broadcast(before), F.col("_bucket") == F.col("_b"))
+    batch = F.floor((F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", id_col)) - 1) / size)
+    return placed.withColumn("batch", batch).where(F.col("batch") < F.floor(F.col("_all") / size)).drop("_h", "_bucket", "_b", "_before", "_all")
+
+
 def batches(df: DataFrame, id_col: str, size: int, seed: int = 104729) -> DataFrame:
     """Adds ``batch``, filling batches of about ``size`` rows by hash, for mini-batch statistics."""
     n = max(1, df.count() // size)

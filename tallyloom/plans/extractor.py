@@ -8,8 +8,9 @@ affiliation_unrecognized, designation, aff_score); designation is null for other
 
 from __future__ import annotations
 
+import contextlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.records import passes
 from ..functions.tokens import MAX_CHARS, MAX_TOKENS, char_ids, designation_decode, padded, pointer, special_ids, tokens
-from ..functions.vectors import dot, nearest
-from ..operators.centroids import mean_vector, mean_vectors
+from ..functions.vectors import TINY, dot, nearest
+from ..operators.centroids import LIMIT_LITERALS, vector_sums
 from ..operators.encoders import HashedNgrams, NeuralBundle, Weights, pointer_scores, pooled_vector
 
 #: Classes that don't train affiliations: no affiliation, unknown, several.
@@ -87,6 +88,24 @@ class NeuralModel:
     affiliations: list[str]
     affiliation_centroids: list[list[float]]
 
+    def save(self, path: str) -> None:
+        """Writes the centroids and the bundle's place as JSON."""
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        stored = {"bundle": self.bundle.path, "max_tokens": self.bundle.max_tokens}
+        Path(path).write_text(json.dumps(stored | {"union": self.union_centroid, "affiliations": self.affiliations, "centroids": self.affiliation_centroids}))
+
+    @classmethod
+    def load(cls, path: str) -> "NeuralModel":
+        """A model of ``save``; a bundle's relative path counts from the file."""
+        stored = json.loads(Path(path).read_text())
+        bundle = NeuralBundle(str(Path(path).parent / stored["bundle"]), stored.get("max_tokens", MAX_TOKENS))
+        return cls(bundle, stored["union"], stored["affiliations"], stored["centroids"])
+
+    def attention(self, df: DataFrame, text_col: str = "text", stage: str = "union") -> DataFrame:
+        """Adds ``attention``: the weight of each token of a text in the pooling of ``stage``, pads left out."""
+        with_tokens = df.withColumn("_tokens", tokens(text_col, self.bundle.max_tokens))
+        return with_tokens.withColumn("attention", F.slice(self.bundle.attention("_tokens", stage), 1, F.size("_tokens"))).drop("_tokens")
+
     def record(self, token_array: Column, union_threshold: float, affiliation_threshold: float, df: DataFrame) -> DataFrame:
         bundle, n = self.bundle, self.bundle.max_tokens
         union, names, centroids = np.array(self.union_centroid), list(self.affiliations), np.array(self.affiliation_centroids)
@@ -128,6 +147,23 @@ class NeuralModel:
         return steps.withColumn("_record", record).drop("_r")
 
 
+@contextlib.contextmanager
+def encoder_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def load_model(path: str) -> CentroidModel | NeuralModel:
+    """The model of a JSON file, a trained one if the file names a bundle."""
+    return (NeuralModel if "bundle" in json.loads(Path(path).read_text()) else CentroidModel).load(path)
+
+
 @dataclass
 class Extractor:
     """The plan over a model; ``transform`` works on batch and streaming frames alike."""
@@ -135,7 +171,7 @@ class Extractor:
     model: CentroidModel | NeuralModel
     union_threshold: float = 0.5
     affiliation_threshold: float = 0.80
-    max_tokens: int = MAX_TOKENS
+    max_tokens: int | None = MAX_TOKENS
 
     def transform(self, df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
         """``df`` with the six fields of the record, named with ``prefix``; same-named columns are replaced."""
@@ -148,24 +184,40 @@ class Extractor:
         """The record of one text."""
         return self.extract_batch(spark, [text])[0]
 
-    def extract_batch(self, spark: SparkSession, texts: list[str]) -> list[dict]:
-        """Records in the order of the texts, which the caller holds in memory anyway."""
+    def extract_batch(self, spark: SparkSession, texts: list[str], batch_size: int = 256) -> list[dict]:
+        """Records in the order of the texts, which the caller holds in memory anyway; the encoder gets ``batch_size`` at once."""
         if not texts:
             return []
         df = spark.createDataFrame(list(enumerate(texts)), "_i bigint, text string")
-        return [{f: r[f] for f in RECORD} for r in self.transform(df).orderBy("_i").collect()]
+        with encoder_batches(spark, batch_size):
+            return [{f: r[f] for f in RECORD} for r in self.transform(df).orderBy("_i").collect()]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", class_col: str = "aff_abbr", negatives: DataFrame | None = None, least: int = 5, encoder: Callable | None = None) -> CentroidModel:
-    """Centroids from labelled texts.
+def fit(labelled: DataFrame, text_col: str = "text", class_col: str = "aff_abbr", negatives: DataFrame | None = None, least: int = 5, encoder: Callable | None = None, max_tokens: int | None = MAX_TOKENS) -> CentroidModel:
+    """Centroids from labelled texts, of their first ``max_tokens`` tokens (all if None).
 
     Texts of every class but the unknown one teach stage 1, and classes of ``least`` rows or more, without the
-    special ones, stage 2. ``negatives`` (text) are accepted for symmetry with trained encoders and teach nothing here.
-    The model is as large as its classes are many.
+    special ones, stage 2. ``negatives`` (text) are accepted for symmetry with trained encoders and teach nothing here: a mean
+    of positives has no use for them. Texts are encoded once, and one row of sums for each class to be kept comes to the
+    driver; more than ``LIMIT_LITERALS`` classes are an error, because a model is a literal of its plans
+    (``mean_vectors`` and ``nearest_centroid`` take any number).
     """
     encode = encoder or HashedNgrams()
-    rows = labelled.select(F.col(class_col).alias("class"), encode(tokens(text_col)).alias("v")).where(~F.exists("v", F.isnan))
-    union = mean_vector(rows.where(F.coalesce(F.col("class") != NOT_A_UNION, F.lit(True))), "v").head()
-    kept = rows.where(F.col("class").isNotNull() & ~F.col("class").isin(*NOT_AFFILIATIONS))
-    classes = mean_vectors(kept, "class", "v").where(F.col("n") >= least).orderBy("class").collect()
-    return CentroidModel(list(union["centroid"]), [r["class"] for r in classes], [list(r["centroid"]) for r in classes], encoder=encode)
+    rows = labelled.select(F.col(class_col).alias("class"), encode(tokens(text_col, max_tokens)).alias("v")).where(~F.exists("v", F.isnan))
+    dim = getattr(encode, "dim", None) or len((rows.select("v").head() or {"v": []})["v"])
+    sums = vector_sums(rows, "class", "v", dim)
+    taught = F.coalesce(F.col("class") != NOT_A_UNION, F.lit(True))
+    kept = F.col("class").isNotNull() & ~F.col("class").isin(*NOT_AFFILIATIONS) & (F.col("n") >= least)
+    # the classes that aren't kept are one row for stage 1
+    sums = sums.where(taught).select(F.when(kept, F.col("class")).alias("class"), "n", *(F.col("sums")[i].alias(f"s{i}") for i in range(dim)))
+    found = sums.groupBy("class").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(dim))).limit(LIMIT_LITERALS + 2).collect()
+    if len(found) > LIMIT_LITERALS + 1:
+        raise ValueError(f"more than {LIMIT_LITERALS} classes")
+    vectors = {r["class"]: np.array([r[f"s{i}"] for i in range(dim)]) for r in found}
+
+    def unit(v: np.ndarray) -> list[float]:
+        n = sum(r["n"] for r in found) or 1
+        return (v / n / max(float(np.linalg.norm(v / n)), TINY)).tolist()
+
+    named = sorted(c for c in vectors if c is not None)
+    return CentroidModel(unit(sum(vectors.values(), np.zeros(dim))), named, [unit(vectors[c]) for c in named], encoder=encode)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import sqlite3
 import tempfile
 from collections.abc import Callable
 
@@ -429,7 +429,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with quotes, commas, line feeds and empty cells, written and read again."""
     odd = F.concat(F.lit('say "'), F.col("s_name"), F.lit('", twice\nor \\n, '), F.when(F.col("s_suppkey") % 2 == 0, F.lit("")).otherwise(F.lit("x")))
     rows = _table(spark, sf_dir, "supplier").select(F.monotonically_increasing_id().alias(S.ROW), F.col("s_suppkey").cast("string").alias("id"), odd.alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("y").alias("extra"))
-    path = tempfile.mkdtemp(prefix="tallyloom-") + "/csv"
+    path = S.work_dir(spark, "csv")
     S.write_csv(rows, path)
     return S.read_csv(spark, path).select("id", "name", "extra")
 
@@ -443,8 +443,7 @@ def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.extract import extract_stream, read_table_stream
 
     extractor = Extractor(_fitted(spark, sf_dir), _UNION_AT, _AFFILIATION_AT)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-")
-    work = f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
+    work = S.work_dir(spark, "stream")
     schema = _table(spark, sf_dir, "documents").schema
     path = f"{sf_dir}/documents.parquet"
     extract_stream(read_table_stream(spark, path, schema).select("doc_id", "text"), extractor, "text", f"{work}/out", f"{work}/state", once=True).awaitTermination()
@@ -452,6 +451,86 @@ def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "is_union", F.round("union_score", 6).alias("union_score"), "affiliation", "affiliation_unrecognized", "designation", F.round("aff_score", 6).alias("aff_score"))
 
 
+# -- whole texts --------------------------------------------------------------------------------------------
+
+
+def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole documents, without the limit that the model's inputs have, counted by type."""
+    every = K.explode_tokens(_table(spark, sf_dir, "documents"), "text", "doc_id", max_tokens=None)
+    return every.groupBy("doc_id", F.col("type").cast("int").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("token").cast("long")).alias("n_chars"), F.max("pos").alias("last"), F.max("token").alias("largest"))
+
+
+def last_number_whole_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``last_number_pointer`` over whole pages."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", K.tokens("html", None).alias("t"))
+    place = K.pointer("t", lambda t, i: F.length(t["token"]), null_score=1.0)
+    return rows.select("page_id", place.cast("int").alias("place"), K.designation_decode("t", place).alias("designation"))
+
+
+def extract_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extract_pipeline`` fitted on and applied to all tokens of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.select("text", F.when(F.col("lang") == "fr", "UNK").otherwise(F.upper("lang")).alias("aff_abbr")), max_tokens=None)
+    out = Extractor(model, _UNION_AT, _AFFILIATION_AT, max_tokens=None).transform(docs.select("doc_id", "text"))
+    return out.select("doc_id", "is_union", F.round("union_score", 6).alias("union_score"), "affiliation", "affiliation_unrecognized", "designation", F.round("aff_score", 6).alias("aff_score"))
+
+
+# -- files --------------------------------------------------------------------------------------------------
+
+
+def lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as lines of a file, blank ones too, counted when read again."""
+    path = S.work_dir(spark, "lines")
+    _table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit(' "'), F.col("s_name"), F.lit(", x"))).alias("value")).write.text(path)
+    return S.read_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def registry_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry in a SQLite file of the driver, where such a file lies, read as the lookup's source."""
+    rows = _table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))).otherwise("").alias("a"), F.when(F.col("s_suppkey") % 7 > 0, (F.col("s_suppkey") % 9).cast("string")).alias("d"), (F.col("s_suppkey") % 13).alias("f"))
+    with tempfile.TemporaryDirectory(prefix="tallyloom-") as folder:
+        path = f"{folder}/registry.db"
+        with sqlite3.connect(path) as db:
+            db.execute("CREATE TABLE lm_data (aff_abbr TEXT, desig_num TEXT, f_num INTEGER)")
+            db.executemany("INSERT INTO lm_data VALUES (?, ?, ?)", map(tuple, rows.toLocalIterator()))
+        db.close()
+        return S.read_registry_sqlite(spark, path)
+
+
+def labelled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows from a CSV file: numbers stay text, with their zeros and without a float's end."""
+    path = S.work_dir(spark, "labelled")
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("text"), F.col("s_nationkey").cast("string").alias("aff_abbr"), F.concat(F.lit("00"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".0").otherwise("")).alias("desig_num"))
+    S.write_csv(rows, path, single_file=False)
+    return S.read_labelled(spark, path)
+
+
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits written to their folders, the test split read again."""
+    path = S.work_dir(spark, "split")
+    S.write_split(sampling.stratified_split(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.2), path)
+    return S.read_split(spark, path, "test").select("doc_id", "lang", "split")
+
+
+def error_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error report as a CSV file, counted when read again; empty cells are nulls to the reader."""
+    path = S.work_dir(spark, "errors")
+    S.write_errors(evaluate.errors(evaluate.judged(_predictions(spark, sf_dir), _KNOWN)), path)
+    return spark.read.csv(path, header=True, quote='"', escape='"').groupBy("true_aff", "aff_match", "desig_match").agg(F.count("*").alias("n"), F.count("pred_aff").alias("n_said"))
+
+
+def lookup_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup written as JSON lines and read again."""
+    path = S.work_dir(spark, "lookup")
+    S.write_lookup(L.build_lookup(_registry(spark, sf_dir)), path, "json")
+    return S.read_lookup(spark, path, "json").select("aff", "desig", F.size("fnums").cast("long").alias("n"), F.array_max("fnums").alias("largest"))
+
+
+def mini_batches_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 64 vectors exactly; those that don't fill the last one are dropped."""
+    return sampling.full_batches(_table(spark, sf_dir, "embeddings"), "vec_id", 64).groupBy("batch").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
 def neural_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neural stages with random weights on supplier names: shapes and gates, no meaning."""
     arrays = random_bundle(3, affiliations=3, hidden=16)
@@ -467,10 +546,31 @@ def queries() -> dict[str, Query]:
         last_number_pointer, neural_inputs, class_centroids, empty_class_centroid, one_class_centroid, one_class_gate, nearest_centroid, all_pairs_similarity, contrastive_loss_supervised, contrastive_loss_one_class,
         token_attention_pool, hashed_vectors, lookup_build, lookup_join, lookup_format, distinct_filter_sort, class_filter_min_count, distinct_class_count, stratified_split, deterministic_sample,
         split_training_rows, mini_batches, not_in_keeps_null, union_all_concat, eval_metrics, eval_errors, error_breakdown, roc_curve, roc_auc, youden_threshold, extract_pipeline, predict_rows, csv_roundtrip, stream_extract, neural_pointer,
+        document_token_counts, last_number_whole_page, extract_whole_texts, lines_roundtrip, registry_sqlite, labelled_csv, split_files, error_file, lookup_file, mini_batches_full,
     ]
     return {f.__name__: f for f in named} | {"nearest_centroid_at_0_8": _nearest_at(0.8), "nearest_centroid_at_0_2": _nearest_at(0.2)}
 
 
+def _whole(sql: str) -> str:
+    """The plan's SQL over all tokens of a text."""
+    limited = f")[1:{K.MAX_TOKENS}]"
+    if limited not in sql:
+        raise ValueError("no limit to take away")
+    return sql.replace(limited, ")")
+
+
+def _predict_sql() -> str:
+    """The plan's SQL on supplier names and the command line's columns over it."""
+    names = "SELECT s_suppkey AS doc_id, s_name AS text, CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'n' ELSE 'r' END AS lang FROM supplier"
+    plan = _PIPELINE_SQL.replace("WITH t AS", f"WITH documents AS ({names}), t AS", 1).replace(f">= {_UNION_AT}", ">= 0.5").replace(f">= {_AFFILIATION_AT}", ">= 0.8").replace(f"< {_AFFILIATION_AT}", "< 0.8").replace("n >= 5", "n >= 1").replace("round(us, 6)", "us")
+    listed = "CASE coalesce(len(fnums), 0) WHEN 0 THEN '' WHEN 1 THEN CAST(fnums[1] AS VARCHAR) ELSE '[' || array_to_string(fnums, ', ') || ']' END"
+    several = "CASE coalesce(len(fnums), 0) WHEN 0 THEN '' WHEN 1 THEN 'False' ELSE 'True' END"
+    return f"""SELECT s.s_suppkey, s.s_name, CASE WHEN is_union THEN 'True' ELSE 'False' END AS pred_is_union, coalesce(affiliation, '') AS pred_aff,
+        CASE WHEN affiliation_unrecognized THEN 'True' ELSE 'False' END AS pred_unknown, coalesce(designation, '') AS pred_desig,
+        CASE WHEN isnan(union_score) THEN 'nan' ELSE printf('%.4f', union_score) END AS pred_union_score, {listed} AS pred_fnum, {several} AS pred_fnum_multiple
+        FROM ({plan}) p JOIN supplier s ON s.s_suppkey = p.doc_id LEFT JOIN ({_LOOKUP}) l ON l.aff = nullif(affiliation, '') AND l.desig = nullif(designation, '')"""
+
+
 def _exploded(table: str, key: str, text: str, limit: int | None = K.MAX_TOKENS) -> str:
     return f"SELECT {key}, CAST(i - 1 AS INTEGER) AS pos, t.token AS token, t.type AS type FROM (SELECT {key}, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM (SELECT {key}, {_sql_tokens(text, limit)} AS toks FROM {table}))"
 
@@ -539,4 +639,15 @@ def oracle_sql() -> dict[str, str]:
         "extract_pipeline": _PIPELINE_SQL,
         "stream_extract": _PIPELINE_SQL,
         "csv_roundtrip": _CSV_SQL,
+        "predict_rows": _predict_sql(),
+        "document_token_counts": f"SELECT doc_id, type, count(*) AS n, CAST(sum(length(token)) AS BIGINT) AS n_chars, max(pos) AS last, max(token) AS largest FROM ({_exploded('documents', 'doc_id', 'text', None)}) GROUP BY doc_id, type",
+        "last_number_whole_page": f"SELECT p.page_id, CAST(coalesce(n.i, 0) AS INTEGER) AS place, coalesce(n.token, '') AS designation FROM pages p LEFT JOIN (SELECT * FROM ({_whole(numbers)}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(token) DESC, i) = 1) n USING (page_id)",
+        "extract_whole_texts": _whole(_PIPELINE_SQL),
+        "lines_roundtrip": "SELECT CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE ' \"' || s_name || ', x' END AS text, count(*) AS n FROM supplier GROUP BY 1",
+        "registry_sqlite": "SELECT DISTINCT 'N' || s_nationkey AS aff_abbr, CAST(s_suppkey % 9 AS VARCHAR) AS desig_num, s_suppkey % 13 AS f_num FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 > 0",
+        "labelled_csv": "SELECT s_name AS text, CAST(s_nationkey AS VARCHAR) AS aff_abbr, '00' || s_suppkey AS desig_num FROM supplier",
+        "split_files": f"SELECT * FROM ({split(0.2, 'NULL')}) WHERE split = 'test'",
+        "error_file": f"SELECT true_aff, CASE WHEN am THEN 'true' ELSE 'false' END AS aff_match, CASE WHEN dm THEN 'true' ELSE 'false' END AS desig_match, count(*) AS n, count(pred_aff) AS n_said FROM ({_PREDICTIONS}) WHERE NOT (am AND dm) GROUP BY 1, 2, 3",
+        "lookup_file": f"SELECT aff, desig, len(fnums) AS n, list_max(fnums) AS largest FROM ({_LOOKUP})",
+        "mini_batches_full": f"SELECT CAST(r // 64 AS BIGINT) AS batch, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM (SELECT vec_id, row_number() OVER (ORDER BY {_HASH.format('vec_id')}, vec_id) - 1 AS r FROM embeddings) WHERE r // 64 < (SELECT count(*) // 64 FROM embeddings) GROUP BY 1",
     }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import sqlite3
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,19 @@ class InputError(ValueError):
     """The input can't be read as asked."""
 
 
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new path for ``what`` in the folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    A folder of this machine serves only a local master; elsewhere an unset folder is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InputError("spark.checkpoint.dir names no folder that the executors share")
+        base = tempfile.mkdtemp(prefix="tallyloom-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row (``_row_id``, text) for each line as it is, blank ones too."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias(ROW), F.col("value").alias("text"))
