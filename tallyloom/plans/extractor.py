@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, text_col: str = "text", class_col: str = "aff_abbr"
     # the classes that aren't kept are one row for stage 1
     sums = sums.where(taught).select(F.when(kept, F.col("class")).alias("class"), "n", *(F.col("sums")[i].alias(f"s{i}") for i in range(dim)))
     found = sums.groupBy("class").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(dim))).limit(LIMIT_LITERALS + 2).collect()
-    if len(found) > LIMIT_LITERALS + 1:
+    if sum(r["class"] is not None for r in found) > LIMIT_LITERALS:
         raise ValueError(f"more than {LIMIT_LITERALS} classes")
     vectors = {r["class"]: np.array([r[f"s{i}"] for i in range(dim)]) for r in found}
 

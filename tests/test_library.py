@@ -240,3 +240,64 @@ def test_error_and_split_files(spark, tmp_path):
     assert [r.text for r in S.read_split(spark, str(tmp_path / "split"), "test").collect()] == ["a"]
     assert not S.write_errors(rows.limit(0), str(tmp_path / "errors")) and S.write_errors(rows, str(tmp_path / "errors"))
     assert spark.read.csv(str(tmp_path / "errors"), header=True).count() == 2
+
+
+def test_output_columns_by_name():
+    assert FIELDS == ("pred_is_union", "pred_aff", "pred_unknown", "pred_desig", "pred_union_score", "pred_fnum", "pred_fnum_multiple")
+
+
+def test_nearest_keeps_rows_of_equal_key_apart(spark, monkeypatch):
+    monkeypatch.setattr(C, "LIMIT_LITERALS", 2)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0])], "id int, v array<double>")
+    named = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [0.0, 1.0]), ("c", [1.0, 0.0])], "class string, centroid array<double>")
+    assert sorted((r.nearest, r.similarity) for r in C.nearest_centroid(rows, "id", "v", named).collect()) == [("a", 1.0), ("a", 1.0), ("c", 1.0)]
+
+
+def test_fit_encodes_once_and_bounds_its_classes(spark, monkeypatch):
+    from tallyloom.plans import extractor
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(tokens):
+        @F.pandas_udf("array<double>")
+        def encode(words):
+            calls.add(len(words))
+            return words.map(lambda w: [1.0, float(len(w))])
+
+        return encode.asNondeterministic()(F.transform(tokens, lambda t: t["token"]))
+
+    counting.dim = 2
+    rows = spark.createDataFrame([("alpha", "AA"), ("beta two", "BB"), ("gamma", "CC")] * 5, "text string, aff_abbr string")
+    assert fit(rows, encoder=counting).affiliations == ["AA", "BB", "CC"] and calls.value == 15
+    monkeypatch.setattr(extractor, "LIMIT_LITERALS", 2)
+    with pytest.raises(ValueError, match="classes"):
+        fit(rows, encoder=counting)
+
+
+def test_batch_size_does_not_outlive_the_call(spark, model):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    assert len(Extractor(model).extract_batch(spark, ["50 80"] * 5, batch_size=2)) == 5 and spark.conf.get(name) == before
+
+
+def test_trained_bundle_from_files_and_its_attention(spark, tmp_path, capsys):
+    from tallyloom.plans.extractor import NeuralModel, load_model
+
+    E.save_bundle(str(tmp_path / "b.npz"), E.random_bundle(3, affiliations=2, hidden=4))
+    unit = [1.0] + [0.0] * 63
+    NeuralModel(E.NeuralBundle("b.npz"), unit, ["AA", "BB"], [unit, unit[::-1]]).save(str(tmp_path / "m.json"))
+    found = load_model(str(tmp_path / "m.json"))
+    assert isinstance(found, NeuralModel) and found.affiliations == ["AA", "BB"]
+    rows = spark.createDataFrame([("IBT 123",), ("",)], "text string")
+    weights = [r.attention for r in found.attention(rows).collect()]
+    assert len(weights[0]) == 3 and abs(sum(weights[0]) - 1) < 1e-6 and weights[1] == []
+    (tmp_path / "in.csv").write_text("name\nIBT 123\n")
+    assert cli.run([str(tmp_path / "in.csv"), "--model", str(tmp_path / "m.json"), "--union-threshold", "-1"], spark=spark) == 0
+    out = list(csv.DictReader(io.StringIO(capsys.readouterr().out)))
+    assert out[0]["pred_is_union"] == "True" and out[0]["pred_desig"] in ("", "123")
+
+
+def test_full_batches_drop_the_rest(spark):
+    got = sampling.full_batches(spark.range(1000).repartition(7), "id", 64).groupBy("batch").count().collect()
+    assert sorted((r.batch, r["count"]) for r in got) == [(k, 64) for k in range(15)]
+    assert sampling.full_batches(spark.range(10), "id", 64).count() == 0
