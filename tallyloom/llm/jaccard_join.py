@@ -6,8 +6,9 @@ once. Every class gets ``BANDS * BAND_ROWS`` MinHash values. Classes that agree
 band are candidates. Their values are compared in steps of ``STEP``: under a uniform prior, the
 probability that the coefficient reaches the threshold after m of k values agreed is a binomial tail, and
 a pair goes as soon as it falls below ``tolerance``. The few that stay are verified on their whole sets:
-on 32 bits of each n-gram first, half as many bytes on their way, and on 64 bits if the count comes within
-``SLACK`` of the threshold. (A pair of sets of 600 agrees in a wrong code once in 10,000 pairs.)
+on 32 bits of each n-gram first, half as many bytes on their way, and on 64 bits if the count comes so near to the
+threshold that wrong codes might decide: within ``SLACK``, the n-grams that share a code with another one of their text,
+and the number of wrong agreements to be expected of sets of these sizes, with six standard deviations.
 
 A pair with a coefficient j is a candidate with probability 1 - (1 - j**BAND_ROWS)**BANDS: 0.9952 at 0.5,
 0.9999 at 0.6, so documents of one group, which usually have several links, stay connected.
@@ -22,6 +23,7 @@ row; repeated ids count as so many documents of their texts' classes; no other c
 
 from __future__ import annotations
 
+import random
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +35,9 @@ from ._shared import drop_written, written
 BANDS = 40
 BAND_ROWS = 3
 STEP = 12
-#: Shared n-grams by which counts on 32 bits may be off before a pair is counted again on 64.
+#: Shared n-grams by which counts on 32 bits may be off at least before a pair is counted again on 64.
 SLACK = 4
+_CONSTANTS = [c - 2**31 for c in random.Random(5).sample(range(2**32), BANDS * BAND_ROWS)]
 
 
 def least_agreeing(k: int, threshold: float, tolerance: float) -> int:
@@ -80,10 +83,17 @@ def shingled(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
 
 
 def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): the sizes of the pairs' sets and of what they share."""
+    """(a, b, na, nb, both, lost): the sizes of the pairs' sets, of what they share, and what the sets have more than codes."""
     one, two = (sets.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
     met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+    lost = F.col("na") + F.col("nb") - F.size("sa") - F.size("sb")
+    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"), lost.alias("lost"))
+
+
+def _slack(na: Column, nb: Column, lost: Column) -> Column:
+    """By how much a count on 32 bits may be off."""
+    false = na.cast("double") * nb / 2.0**32
+    return SLACK + lost + false + 6 * F.sqrt(false)
 
 
 def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,8 +104,8 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance:
     """
     total = BANDS * BAND_ROWS
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    values = shingled(rows.withColumn("uid", F.monotonically_increasing_id()), n).select("uid", "id", "k1", "k2", F.explode_outer("grams").alias("g"))
-    signed = values.groupBy("uid", "id", "k1", "k2").agg(*(F.min(F.hash("g", F.lit(i))).alias(f"m{i}") for i in range(total)))
+    values = shingled(rows.withColumn("uid", F.monotonically_increasing_id()), n).select("uid", "id", "k1", "k2", F.explode_outer(F.transform("grams", lambda g: F.shiftright(g, 32).cast("int"))).alias("g"))
+    signed = values.groupBy("uid", "id", "k1", "k2").agg(*(F.min(F.hash(F.col("g").bitwiseXOR(F.lit(c)))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)))
     signed, _ = written(signed.select("uid", "id", "k1", "k2", F.array(*(f"m{i}" for i in range(total))).alias("sig")), "signatures")
     classes = signed.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("uid").alias("u"), F.min("id").alias("copy_of"), F.count("*").alias("copies"))
     classes, _ = written(classes, "classes")
@@ -120,7 +130,7 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance:
     sets, sets_path = written(sets.select("u", F.size("s").alias("n"), codes.alias("c"), "s"), "sets")
     judged, judged_path = written(_counted(likely, sets.select("u", "n", F.col("c").alias("s"))), "judged")
     need = threshold * (F.col("na") + F.col("nb")) / (1 + threshold)  # both / (na + nb - both) >= threshold
-    unclear = F.abs(F.col("both") - need) <= SLACK
+    unclear = F.abs(F.col("both") - need) <= _slack(F.col("na"), F.col("nb"), F.col("lost"))
     again = _counted(judged.where(unclear).select("a", "b"), sets.select("u", "n", "s"))
     pairs = judged.where(~unclear).union(again).where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")))
     sizes = classes.select("u", "copies")
