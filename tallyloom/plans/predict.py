@@ -9,7 +9,7 @@ from ..functions.records import format_bool, format_list, format_multiple, forma
 from ..operators.lookup import lookup
 from .extractor import RECORD, Extractor
 
-FIELDS = ("pred_is_union", "pred_aff", "pred_unknown", "pred_desig", "pred_union_score", "pred_fnum", "pred_fnum_multiple")
+FIELDS = tuple("pred_is_union pred_aff pred_unknown pred_desig pred_union_score pred_fnum pred_fnum_multiple".split())
 
 
 def predict(df: DataFrame, extractor: Extractor, table: DataFrame | None, text_col: str) -> DataFrame:

@@ -243,7 +243,7 @@ def test_error_and_split_files(spark, tmp_path):
 
 
 def test_output_columns_by_name():
-    assert FIELDS == ("pred_is_union", "pred_aff", "pred_unknown", "pred_desig", "pred_union_score", "pred_fnum", "pred_fnum_multiple")
+    assert " ".join(FIELDS) == "pred_is_union pred_aff pred_unknown pred_desig pred_union_score pred_fnum pred_fnum_multiple"
 
 
 def test_nearest_keeps_rows_of_equal_key_apart(spark, monkeypatch):
