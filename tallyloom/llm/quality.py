@@ -12,7 +12,8 @@ either end of a feature's range can speak against a document.
 
 Fitting uses a bounded sample of the labelled rows (``sample_rows``, by hash of the id) and as many
 ``pairs``; scoring covers every row. Defined results: a null text counts as empty and is scored; rows
-without label or with contradicting labels teach nothing; without both classes all documents get the
+without label or with contradicting labels teach nothing, nor do null ids; of several rows with one id one teaches; an
+empty table gives an empty one; without both classes all documents get the
 score ``CUT`` and are kept; repeated rows are scored each; a column of an output's name is replaced.
 """
 
@@ -140,28 +141,30 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _feature_rows(docs: DataFrame) -> DataFrame:
+    """(id, y, x): the features of the rows of (id, y, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t or "").tolist() for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            x = [features(t or "").tolist() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    return docs.select(text_col, "y").mapInArrow(run, "y int, x array<double>")
+    return docs.select("id", "y", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, y int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **options) -> RankModel:
     """Learns from at most ``sample_rows`` labelled rows that aren't held out."""
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("_other"))
-        .where("y = _other")
-        .orderBy(F.xxhash64("_id"), "_id")
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("other"))
+        .where("y = other")
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
-        .select("_id", "y")
+        .select("id", "y")
     )
-    taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
-    rows = _feature_rows(taught, "_id", "_text").collect()  # sample_rows small rows
+    taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = _feature_rows(taught).groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect()  # sample_rows small rows
     x = np.array([r.x for r in rows]).reshape(-1, FEATURES)
     order = np.lexsort([*x.T])  # the order of rows must not matter
     return fit_arrays(x[order], np.array([r.y for r in rows], np.int64)[order], **options)

@@ -7,7 +7,9 @@ against the bound of the window's character class (hexadecimal, letters with dig
 ``+/=_-``); the windows over the bound make up the spans. Allow-listed candidates are suppressed: plain
 words, UUIDs, paths and addresses, long repeats, and what the caller adds.
 
-Offsets are code points, ends exclusive. A null or empty text has no spans. Every text is scanned whole
+Offsets are code points, ends exclusive. A null or empty text has no spans; of finds that begin together the kind listed first
+comes first; repeated rows are scanned each, with equal results; an empty table gives an empty one; other columns pass unchanged,
+but one named ``spans`` is replaced. Every text is scanned whole
 in time in proportion to its length.
 """
 
