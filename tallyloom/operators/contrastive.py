@@ -14,7 +14,7 @@ GUARD = 1e-8
 
 
 def pair_similarities(df: DataFrame, id_col: str, vector_col: str, batch_col: str | None = None, with_self: bool = False) -> DataFrame:
-    """(batch, a, b, similarity) of all ordered pairs inside each batch."""
+    """(batch, a, b, similarity) of all ordered pairs inside each batch; without ``batch_col`` ``df`` is one batch, and as small as one."""
     batch = F.col(batch_col) if batch_col else F.lit(0)
     rows = df.select(batch.alias("batch"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     a, b = rows.select("batch", F.col("id").alias("a"), F.col("v").alias("va")), rows.select("batch", F.col("id").alias("b"), F.col("v").alias("vb"))

@@ -39,25 +39,38 @@ class HashedNgrams:
         # not deterministic to the planner, which would else run it again for a filter on its result
         @F.pandas_udf("array<double>")
         def encode(words: pd.Series) -> pd.Series:
-            out = []
+            out: list[np.ndarray] = []
+            part: list = []
+            size = 0
             for own in words:
-                grams: list[np.ndarray] = []
-                for word in own:
-                    c = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
-                    z = np.concatenate([c, np.zeros(2, np.int64)])
-                    n = len(c)
-                    grams.append(c * 961 + 7)
-                    grams.append(z[: n - 1] * 961 + z[1:n] * 31 + 14 if n > 1 else c[:0])
-                    grams.append(z[: n - 2] * 961 + z[1 : n - 1] * 31 + z[2:n] + 21 if n > 2 else c[:0])
-                counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *grams]) % dim, minlength=dim).astype(np.float64)
-                length = np.sqrt((counts**2).sum())
-                out.append(counts / length if length else np.full(dim, np.nan))
+                part.append(own)
+                size += sum(map(len, own))
+                if size > _CHARACTERS_AT_ONCE:
+                    out.extend(_gram_vectors(part, dim))
+                    part, size = [], 0
+            out.extend(_gram_vectors(part, dim))
             return pd.Series(out)
 
         spoken = F.transform(F.filter(token_array, lambda t: t["type"] <= 1), lambda t: t["token"])
         return _with_nan(encode.asNondeterministic()(spoken))
 
 
+_CHARACTERS_AT_ONCE = 500_000
+
+
+def _gram_vectors(rows: list, dim: int) -> np.ndarray:
+    """[rows, dim]: counts of the grams of each row's words, brought to length one; NaN for a row without words."""
+    words = [w for own in rows for w in own]
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [sum(map(len, own)) for own in rows])
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    two, three = word[1:] == word[:-1], word[2:] == word[:-2]
+    places = [(row, c * 961 + 7), (row[1:][two], (c[:-1] * 961 + c[1:] * 31 + 14)[two]), (row[2:][three], (c[:-2] * 961 + c[1:-1] * 31 + c[2:] + 21)[three])]
+    counts = sum(np.bincount(r * dim + p % dim, minlength=len(rows) * dim) for r, p in places).reshape(-1, dim).astype(np.float64)
+    length = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+    return np.where(length > 0, counts / np.where(length > 0, length, 1), np.nan)
+
+
 def _with_nan(vector: Column) -> Column:
     """Pandas hands NaN over as null; this makes it NaN again."""
     return F.transform(vector, lambda x: F.coalesce(x, F.lit(float("nan"))))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.records import not_in
 
 
+#: Hash values in a bucket: of 20,001 buckets none holds more than a small share of any table or class.
+BUCKET = 50
+
+
 def arithmetic_hash(id_col: str, seed: int = 104729) -> Column:
     """A spread of ids that any SQL engine can repeat."""
     return F.pmod(F.col(id_col).cast("bigint") * 7919 + F.lit(seed), F.lit(1000003))
@@ -36,9 +40,9 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, fraction: float
     found in two levels, by buckets of the hash and inside the bucket that the border falls into, so that a class of
     a third of all rows isn't sorted in one task.
     """
-    rows = df.withColumn("_h", arithmetic_hash(id_col, seed)).withColumn("_bucket", F.floor(F.col("_h") / 1000).cast("int"))
+    rows = df.withColumn("_h", arithmetic_hash(id_col, seed)).withColumn("_bucket", F.floor(F.col("_h") / BUCKET).cast("int"))
     sizes = rows.groupBy(class_col, "_bucket").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(class_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 1,001 rows a class
+    upto = Window.partitionBy(class_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 20,001 rows a class
     bounds = sizes.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(class_col))).drop("_n")
     bounds = bounds.select(F.col(class_col).alias("_class"), F.col("_bucket").alias("_b"), "_before", "_all")
     placed = rows.join(bounds, F.col(class_col).eqNullSafe(F.col("_class")) & (F.col("_bucket") == F.col("_b")), "left")
@@ -55,8 +59,8 @@ def full_batches(df: DataFrame, id_col: str, size: int, seed: int = 104729) -> D
 
     A row's place is found in two levels, by buckets of the hash and inside them, so nothing is sorted in one task.
     """
-    rows = df.withColumn("_h", arithmetic_hash(id_col, seed)).withColumn("_bucket", F.floor(F.col("_h") / 1000).cast("int"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 1,001 rows
+    rows = df.withColumn("_h", arithmetic_hash(id_col, seed)).withColumn("_bucket", F.floor(F.col("_h") / BUCKET).cast("int"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 20,001 rows
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
     placed = rows.join(F.broadcast(before), F.col("_bucket") == F.col("_b"))
@@ -65,6 +69,9 @@ def full_batches(df: DataFrame, id_col: str, size: int, seed: int = 104729) -> D
 
 
 def batches(df: DataFrame, id_col: str, size: int, seed: int = 104729) -> DataFrame:
-    """Adds ``batch``, filling batches of about ``size`` rows by hash, for mini-batch statistics."""
+    """Adds ``batch``, filling batches of about ``size`` rows by hash, for mini-batch statistics.
+
+    The hash has 1,000,003 values, so a table has no more batches than that; ``full_batches`` has no such bound.
+    """
     n = max(1, df.count() // size)
     return df.withColumn("batch", F.pmod(arithmetic_hash(id_col, seed), F.lit(n)).cast("int"))

@@ -55,12 +55,15 @@ def text_column(names: list[str], wanted: str | None) -> str:
     return wanted
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``_row_id`` and all columns as strings, quoted as RFC 4180 has it; empty and missing cells are empty strings."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``_row_id`` and all columns as strings, quoted as RFC 4180 has it; empty and missing cells are empty strings.
+
+    Cells may hold line feeds, so a file is one task's; files without such cells are split between tasks with ``multi_line`` false.
+    """
     first = spark.read.text(path).head()
     names = header_of(first["value"] if first else "")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
+    rows = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=True)
     return rows.na.fill("").select(F.monotonically_increasing_id().alias(ROW), *(F.col(f"`{n}`") for n in names))
 
 
