@@ -9,7 +9,7 @@ are ordered by row like any others and split between tasks; where the tasks' ran
 both sides are compared once more. So the edges grow with the rows, and no group is ever compared pair by pair. The graph
 is approximate: README has its recall.
 
-Documents are dealt into blocks by the least id near them in the graph, in ranges of (that id, own id), so a hot group is split
+Documents are dealt into blocks by the least id near them in the graph (over ties not much weaker than their best one), in ranges of (that id, own id), so a hot group is split
 like any other. In each block paths are walked greedily: start at the unvisited document of lowest degree, go on
 to the unvisited neighbour with the heaviest edge (of lowest degree, then least id, among equals), start anew when there is none.
 Edges into other blocks aren't walked; ``layout`` counts them for each row (``lost``). The documents of all paths of a
@@ -217,7 +217,8 @@ def layout(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
     total = rows.count()
     blocks = max(1, -(-total // (block_rows or BLOCK_ROWS)))
     graph = neighbour_graph(rows)
-    nearby = F.transform(F.slice("ties", 1, LABEL_TIES), lambda t: t["b"])
+    nearest = F.filter(F.slice("ties", 1, LABEL_TIES), lambda t: 4 * t["w"] >= 3 * F.get("ties", F.lit(0))["w"])
+    nearby = F.transform(nearest, lambda t: t["b"])
     near = graph.select("a", nearby.alias("bs")).select("a", "bs", F.least("a", F.array_min("bs")).alias("l"))
     nearer = near.select("a", F.explode("bs").alias("b")).join(near.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("label"))
     nodes = rows.select("row_id", "n").join(nearer.join(graph, "a").withColumnRenamed("a", "row_id"), "row_id", "left")
