@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import drop_written, written
 
 ENDS = ("0", "4", "8", "c")
 
@@ -58,10 +58,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pieces = chunked(key, "_text", "_chunks").select("_id", "_th", F.posexplode("_chunks").alias("_k", "_chunk")).where(_candidate(F.col("_chunk")))
     text = F.array_join("_chunk", "\n")
     hashed = pieces.select("_id", "_th", "_k", F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"))
-    hashed, _ = written(hashed, "chunks")
+    hashed, hashed_path = written(hashed, "chunks")
     groups = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_k")).alias("_first")).where("_n > 1").drop("_n")
     is_first = F.struct("_id", "_th", "_k").eqNullSafe(F.col("_first"))
-    asked, _ = written(hashed.join(groups.hint("merge"), ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
+    asked, asked_path = written(hashed.join(groups.hint("merge"), ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
 
     def same(a: str, b: str) -> Column:
         return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
@@ -73,10 +73,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = held.where("_is_first").groupBy("_h1", "_h2").agg(F.first("t").alias("_t"))
     gone = held.where("NOT _is_first").join(firsts.hint("merge"), ["_h1", "_h2"]).where("t = _t").select("_id", "_th", "_k")
     gone, _ = written(gone.groupBy("_id", "_th").agg(F.collect_set("_k").alias("_gone")), "gone")
+    drop_written(docs.sparkSession, hashed_path, asked_path)
 
     rows = docs.drop("n_lines", "n_removed")
-    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
-    done = keyed.alias("d").join(gone.alias("g").hint("merge"), same("d", "g"), "left").select("_row", "_text", "_gone")
+    # a row's text travels once, inside the row
+    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
+    own_text = F.col("_row").getField(text_col).alias("_text")
+    done = keyed.alias("d").join(gone.alias("g").hint("merge"), same("d", "g"), "left").select("_row", own_text, "_gone")
     cut = chunked(done.where("_gone IS NOT NULL"), "_text", "_chunks")
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
     cut = cut.select("_row", "_text", F.array_join(F.flatten(kept), "\n").alias("_new"), F.size(F.flatten("_chunks")).alias("_n"), F.size(F.flatten(kept)).alias("_left"))
@@ -107,10 +110,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     hashes = F.transform("_windows", lambda t: F.struct(F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2")))
     hashed = windowed(key, "_text").select("_id", "_th", F.posexplode(hashes).alias("_k", "_h")).select("_id", "_th", "_k", "_h.*")
-    hashed, _ = written(hashed, "windows")
+    hashed, hashed_path = written(hashed, "windows")
     groups = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_k")).alias("_first")).where("_n > 1").drop("_n")
     is_first = F.struct("_id", "_th", "_k").eqNullSafe(F.col("_first"))
-    asked, _ = written(hashed.join(groups.hint("merge"), ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
+    asked, asked_path = written(hashed.join(groups.hint("merge"), ["_h1", "_h2"]).select("_id", "_th", "_k", "_h1", "_h2", is_first.alias("_is_first")), "repeated")
 
     def same(a: str, b: str) -> Column:
         return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
@@ -124,10 +127,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = known.union(asked.where("_is_first").select("_id", "_th", "_k", "_is_first"))
     sets = (F.collect_set(F.when(F.col("_is_first") == first, F.col("_k"))).alias(name) for first, name in ((False, "_gone"), (True, "_stay")))
     gone, _ = written(known.groupBy("_id", "_th").agg(*sets).where(F.size("_gone") > 0), "gone")
+    drop_written(docs.sparkSession, hashed_path, asked_path)
 
     rows = docs.drop("n_lines", "n_removed")
-    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
-    done = keyed.alias("d").join(gone.alias("g").hint("merge"), same("d", "g"), "left").select("_row", "_text", "_gone", "_stay")
+    # a row's text travels once, inside the row
+    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
+    own_text = F.col("_row").getField(text_col).alias("_text")
+    done = keyed.alias("d").join(gone.alias("g").hint("merge"), same("d", "g"), "left").select("_row", own_text, "_gone", "_stay")
     cut = windowed(done.where("_gone IS NOT NULL"), "_text")
 
     def lines_of(windows: str) -> Column:
