@@ -21,39 +21,22 @@ long texts are processed whole; other columns of the input are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import drop_written, written
 
 SEED = 8
-_BATCH_ROWS = 512
-_MEMO_WORDS = 400_000
+_BATCH_ROWS = 256
 _BASE_1, _BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-class _Memo(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Memo()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > _MEMO_WORDS:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+_MIX, _SALT = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x2545F4914F6CDD1D)
+_STRETCH = 1 << 19
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -61,17 +44,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@functools.lru_cache(maxsize=8)
+def _all_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those that texts of usual length need are kept."""
+    return _all_powers(base, _STRETCH + 1)[:n] if n <= _STRETCH + 1 else _all_powers.__wrapped__(base, n)
+
+
 class RangeHash:
-    """Hashes of any ranges of a sequence of word hashes, from one array of sums."""
+    """Hashes of any ranges of a sequence of hashes, from one array of sums."""
 
     def __init__(self, h: np.ndarray):
-        h = _mixed(h ^ np.uint64(0x2545F4914F6CDD1D))
         self.sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * _powers(_BASE_2, len(h)), out=self.sums[1:])
         self.back = _powers(pow(_BASE_2, -1, 1 << 64), len(h) + 1)
@@ -80,6 +68,9 @@ class RangeHash:
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
 
+_BYTES = _mixed((np.arange(256) + 1).astype(np.uint64) * np.uint64(_BASE_1))
+
+
 def segments(h: np.ndarray, text_of: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(first window, number of windows, anchor's place, anchor hash, extent hash) of all segments.
 
@@ -108,16 +99,50 @@ def segments(h: np.ndarray, text_of: np.ndarray, length: int) -> tuple[np.ndarra
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     firsts = np.flatnonzero(new)
     first, count, place = inside[firsts], np.diff(np.append(firsts, len(inside))), anchor[firsts]
-    extent = RangeHash(h).of(first, first + count + length - 1)
+    extent = RangeHash(_mixed(h ^ _SALT)).of(first, first + count + length - 1)
     extent = _mixed(extent ^ ((place - first).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)) * np.uint64(_BASE_1))
     return first, count, place, seeds[place].view(np.int64), extent.view(np.int64)
 
 
-def _split(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of all texts, the text of each word, and where each text's words begin."""
-    split = [(t or "").encode().split() for t in texts]
-    counts = np.array([len(w) for w in split], np.int64)
-    return [w for s in split for w in s], np.repeat(np.arange(len(split)), counts), np.cumsum(counts) - counts
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def word_hashes(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, where they start) of texts that lie in ``data`` one after another and begin at ``firsts``.
+
+    A word's hash is made of the hash of its bytes, taken from running sums over ``data``, and its length.
+    """
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    lo = 0
+    while lo < len(data):
+        hi = lo + _STRETCH
+        while hi < len(data) and not _SPACE[data[hi - 1]]:
+            gap = np.flatnonzero(_SPACE[data[hi : hi + _STRETCH]])
+            hi += int(gap[0]) + 1 if len(gap) else _STRETCH
+        part = data[lo:hi]
+        shown = ~_SPACE[part]
+        edge = shown.copy()
+        edge[1:] &= ~shown[:-1]
+        first = firsts[(firsts >= lo) & (firsts < lo + len(part))] - lo
+        edge[first] = shown[first]
+        at = np.flatnonzero(edge)
+        end = shown.copy()
+        end[:-1] &= ~shown[1:] | edge[1:]
+        size = np.flatnonzero(end) + 1 - at
+        h = RangeHash(_BYTES[part]).of(at, at + size)
+        hashes.append(_mixed(h ^ size.astype(np.uint64) * np.uint64(_BASE_1)))
+        starts.append(at + lo)
+        lo += len(part)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, nulls as empty ones, and where each begins."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    return np.frombuffer(raw if raw is not None else b"", np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0]
 
 
 def _find_segments(length: int):
@@ -125,8 +150,11 @@ def _find_segments(length: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH_ROWS):
                 part = batch.slice(lo, _BATCH_ROWS)
-                words, text_of, begins = _split(part.column("text").to_pylist())
-                first, count, place, anchor, extent = segments(word_hashes(words), text_of, length)
+                data, firsts = _bytes(part.column("text"))
+                h, at = word_hashes(data, firsts)
+                text_of = np.searchsorted(firsts, at, "right") - 1  # an empty text begins where the next one does
+                begins = np.searchsorted(at, firsts)
+                first, count, place, anchor, extent = segments(h, text_of, length)
                 rows = text_of[first] if len(first) else np.zeros(0, np.int64)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -147,63 +175,95 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(packed, pa.binary())], ["doc_id", "th", "z"])
 
 
-def _texts(column: pa.Array) -> list[bytes]:
+def _opened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all compressed texts one after another, nulls as empty ones, and where each begins, the end of the last one too."""
     import zstandard
 
     open_ = zstandard.ZstdDecompressor()
-    return [open_.decompress(z) if z is not None else b"" for z in column.to_pylist()]
+    texts = [open_.decompress(z) if z is not None else b"" for z in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """(row of each member of a column of lists of structs, the members' fields)."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), *(flat.field(n).to_numpy() for n in names)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i]`` to ``starts[i] + sizes[i] - 1`` of all i, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _find_windows(length: int):
+    """Each segment's matches are extended to both sides: a window's key tells how far it reaches before the anchor, and all its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH_ROWS):
                 part = batch.slice(lo, _BATCH_ROWS)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for k, (text, segs) in enumerate(zip(_texts(part.column("z")), part.column("segs").to_pylist())):
-                    words = text.split()
-                    for g in segs:
-                        n, s = g["n"], g["s"]
-                        h = word_hashes(words[s : s + n + length - 1])
-                        begin = np.arange(n)
-                        w = RangeHash(h).of(begin, begin + length)
-                        w = _mixed(w ^ np.uint64(g["ah"] & (1 << 64) - 1) ^ (g["o"] - begin).astype(np.uint64) * np.uint64(_BASE_1))
-                        for column, values in zip(out, (np.full(n, k), np.full(n, g["ah"], np.int64), w.view(np.int64), s + begin, np.full(n, g["c"], np.int64))):
-                            column.append(values)
-                columns = [np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64) for c in out]
-                take = pa.array(columns[0])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), *map(pa.array, columns[1:])], ["doc_id", "th", "ah", "w", "s", "c"])
+                data, ends = _opened(part.column("z"))
+                h, at = word_hashes(data, ends[:-1])
+                k, ah, s, n, o, c = _listed(part.column("segs"), "ah", "s", "n", "o", "c")
+                first = _spread(s, n)
+                of = np.repeat(np.arange(len(n)), n)
+                begin = np.searchsorted(at, ends[:-1])[k[of]] + first
+                w = RangeHash(_mixed(h ^ _SALT)).of(begin, begin + length)
+                before = o[of] - (first - s[of])
+                w = _mixed(w ^ ah.view(np.uint64)[of] ^ before.astype(np.uint64) * np.uint64(_BASE_1)).view(np.int64)
+                take = pa.array(k[of])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), *map(pa.array, (ah[of], w, first, c[of]))], ["doc_id", "th", "ah", "w", "s", "c"])
 
     return run
 
 
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray, depth: type = np.int64) -> np.ndarray:
+    """True for the places of ``range(n)`` that some range covers; as many ranges as ``depth`` can count may overlap."""
+    change = np.zeros(n + 1, depth)
+    np.add.at(change, starts, depth(1))
+    np.add.at(change, ends, depth(-1))
+    return np.cumsum(change, dtype=depth)[:-1] > 0
+
+
+def _runs(flags: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags; a run ends where a text begins."""
+    opens, closes = flags.copy(), flags.copy()
+    opens[1:] &= ~flags[:-1]
+    opens[firsts[firsts < len(flags)]] = flags[firsts[firsts < len(flags)]]
+    closes[:-1] &= ~flags[1:] | opens[1:]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH_ROWS):
                 part = batch.slice(lo, _BATCH_ROWS)
-                totals, removed, kept, repeats = [], [], [], []
-                for text, spans in zip(_texts(part.column("z")), part.column("spans").to_pylist()):
-                    words = text.split()
-                    merged: list[list[int]] = []
-                    for at in sorted((x["s"], x["s"] + x["n"] + length - 1) for x in spans or ()):
-                        if merged and at[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], at[1])
-                        else:
-                            merged.append(list(at))
-                    rest, end = [], 0
-                    for a, b in merged:
-                        rest += words[end:a]
-                        end = b
-                    rest += words[end:]
-                    totals.append(len(words))
-                    removed.append(len(words) - len(rest))
-                    kept.append(b" ".join(rest).decode())
-                    repeats.append([{"start": a, "end": b} for a, b in merged])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(repeats, kind)], ["doc_id", "kept", "n_words", "n_removed", "repeats"]
-                )
+                data, ends = _opened(part.column("z"))
+                first, last = _runs(~_SPACE[data], ends[:-1])  # of the bytes of words
+                begins = np.searchsorted(first, ends)
+                k, s, n = _listed(part.column("spans"), "s", "n")
+                gone = _covered(len(first), begins[k] + s, begins[k] + s + n + length - 1)
+                kept = np.flatnonzero(~gone)
+                # a kept word that another one of its text follows takes the space after it along
+                text_of = np.searchsorted(ends, first[kept], "right")
+                follows = np.append(text_of[1:] == text_of[:-1], False)[: len(kept)]
+                stays = np.zeros(len(data) + 1, bool)
+                stays[:-1] = _covered(len(data), first[kept], last[kept], np.int8)
+                spaces = last[kept][follows]
+                stays[spaces] = True
+                out = np.append(data, np.uint8(32))
+                out[spaces] = 32
+                size = np.cumsum(np.bincount(text_of, last[kept] - first[kept] + follows, minlength=len(part) + 1))
+                texts = pa.StringArray.from_buffers(len(part), pa.py_buffer(size.astype(np.int32)), pa.py_buffer(out[stays]))
+                start, end = _runs(gone, begins[:-1])
+                of = np.searchsorted(begins, start, "right") - 1
+                spans = pa.StructArray.from_arrays([pa.array(start - begins[of]), pa.array(end - begins[of])], ["start", "end"])
+                repeats = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(part) + 1)), pa.int32()), spans)
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[begins])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, pa.array(np.diff(begins)), pa.array(removed), repeats], ["doc_id", "kept", "n_words", "n_removed", "repeats"])
 
     return run
 
