@@ -326,6 +326,41 @@ def test_decoding_lists_all_filters_that_a_vector_passes():
     assert set(zip(rows.tolist(), filters.tolist())) == {(i, a * 20 + b) for i, a, b in np.argwhere(score >= code.alpha).tolist()}
 
 
+@pytest.mark.parametrize("words", [3, 20, 60])
+def test_decoding_lists_the_nearest_filters_in_any_case(words):
+    code = embedding_dedup.ProductCode(8, words)
+    v = np.random.default_rng(1).standard_normal((30, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    turned = v @ code.rotation
+    score = ((turned[:, :4] @ code.codes[0])[:, :, None] + (turned[:, 4:] @ code.codes[1])[:, None, :]).reshape(30, -1)
+    rows, filters = code.decode(v, least=32)
+    for k in range(30):
+        want = {*np.flatnonzero(score[k] >= code.alpha).tolist()} | {*np.argsort(-score[k])[: min(32, words**2)].tolist()}
+        assert {*filters[rows == k].tolist()} == want and (rows == k).sum() == len(want)
+
+
+@pytest.mark.parametrize("dim, words", [(2, 40), (3, 40), (5, 60), (64, 100)])
+def test_alpha_gives_the_filters_asked_for(dim, words):
+    code = embedding_dedup.ProductCode(dim, words)
+    v = np.random.default_rng(2).standard_normal((4000, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    mean = len(code.decode(v)[0]) / len(v)
+    assert 0.6 * embedding_dedup.FILTERS_EACH < mean < 1.6 * embedding_dedup.FILTERS_EACH
+
+
+@pytest.mark.parametrize("vectors", [10**4, 10**6, 10**7, 10**8])
+def test_near_vectors_share_filters_at_any_size(vectors):
+    """Recall at the threshold with the code that a table of so many vectors gets."""
+    rng, rows = np.random.default_rng(5), 500
+    code = embedding_dedup.ProductCode(64, embedding_dedup.words_for(vectors, 48))
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, rows, 64)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    (i, f), (j, g) = code.decode(x, embedding_dedup.LEAST_FILTERS), code.decode(y, embedding_dedup.LEAST_FILTERS)
+    met = {k for k, _ in {*zip(i.tolist(), f.tolist())} & {*zip(j.tolist(), g.tolist())}}
+    assert len(met) >= 0.98 * rows and len(i) <= 80 * rows
+
+
 # -- top k
 
 
