@@ -3,7 +3,14 @@
 Words are runs of letters and digits in lower case; a document's set holds its ``n``-grams of words (a
 shorter document has one, all its words). Documents with equal word sequences are one class, looked at
 once. Every class gets ``BANDS * BAND_ROWS`` MinHash values. Classes that agree in all values of some
-band are candidates. Their values are compared in steps of ``STEP``: under a uniform prior, the
+band are candidates.
+
+Large groups would make as many candidate pairs as bands that they agree in, each with both sets on its way. So classes that share
+bands are dealt into tiles of about ``TILE`` by the least id they meet. How many candidates two tiles have is known from
+the counts of their members in each band. Where these are at least one for ``SPARSE`` pairs of members, no candidate is formed: the
+members' sets travel once for each such pair of tiles and all pairs are verified there, on 64 bits. This finds all that the bands would, and more.
+
+All other candidates' values are compared in steps of ``STEP``: under a uniform prior, the
 probability that the coefficient reaches the threshold after m of k values agreed is a binomial tail, and
 a pair goes as soon as it falls below ``tolerance``. The few that stay are verified on their whole sets:
 on 32 bits of each n-gram first, half as many bytes on their way, and on 64 bits if the count comes so near to the
@@ -26,7 +33,7 @@ from __future__ import annotations
 import random
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -37,6 +44,10 @@ BAND_ROWS = 3
 STEP = 12
 #: Shared n-grams by which counts on 32 bits may be off at least before a pair is counted again on 64.
 SLACK = 4
+#: Classes in a tile, at most about.
+TILE = 256
+#: Pairs of two tiles' members to one candidate (counted in every band) up to which all of them are verified at once.
+SPARSE = 4
 _CONSTANTS = [c - 2**31 for c in random.Random(5).sample(range(2**32), BANDS * BAND_ROWS)]
 
 
@@ -96,6 +107,47 @@ def _slack(na: Column, nb: Column, lost: Column) -> Column:
     return SLACK + lost + false + 6 * F.sqrt(false)
 
 
+def _tiled(keyed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(ta, tb), the pairs of tiles to be verified as a whole; (u, t, m), the tiles; (a, b), the candidates in no such pair; their paths."""
+    alike = Window.partitionBy("key")
+    shared = keyed.select("key", "u", F.count("*").over(alike).alias("n"), F.min("u").over(alike).alias("lead")).where("n > 1").drop("n")
+    shared, shared_path = written(shared, "shared")
+    leads = shared.groupBy("u").agg(F.min("lead").alias("lead"))
+    parts = leads.groupBy("lead").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    dealt = leads.join(parts, "lead").select("u", F.xxhash64("lead", F.pmod(F.xxhash64("u"), "parts")).alias("t"))
+    tiles, tiles_path = written(dealt.withColumn("m", F.count("*").over(Window.partitionBy("t"))), "tiles")
+
+    placed = shared.select("key", "u").join(tiles.hint("merge"), "u")
+    counts = placed.groupBy("key", "t").agg(F.count("*").alias("c"), F.first("m").alias("m"))
+    one, two = (counts.select("key", F.col("t").alias(f"t{x}"), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
+    own = F.col("ta") == F.col("tb")
+    # products as doubles: as many candidates, or pairs, as the members in a band, or of the tiles, make
+    made, room = (F.when(own, F.col(f"{x}a").cast("double") * (F.col(f"{x}a") - 1) / 2).otherwise(F.col(f"{x}a").cast("double") * F.col(f"{x}b")) for x in "cm")
+    met = one.join(two.hint("merge"), "key").where("ta <= tb").select("key", "ta", "tb", "ma", "mb", made.alias("made")).where("made > 0")
+    met, met_path = written(met, "meetings")
+    cells = met.groupBy("ta", "tb").agg(F.sum("made").alias("made"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
+    cells = cells.where((F.col("made") >= F.col("ma") + F.col("mb")) & (F.col("made") * SPARSE >= room)).select("ta", "tb")
+    cells, cells_path = written(cells, "cells")
+
+    a, b = (placed.select("key", F.col("u").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+    rest = met.select("key", "ta", "tb").join(cells, ["ta", "tb"], "left_anti").join(a.hint("merge"), ["key", "ta"]).join(b.hint("merge"), ["key", "tb"])
+    rest = rest.where(~own | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest, rest_path = written(rest, "candidates")
+    drop_written(keyed.sparkSession, shared_path, met_path)
+    return cells, tiles, rest, [cells_path, tiles_path, rest_path]
+
+
+def _within(cells: DataFrame, tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all pairs of the cells' members at or over the threshold."""
+    members = tiles.select("t", "u").join(sets.hint("merge"), "u")
+    one, two = (cells.join(members.select(F.col("t").alias(f"t{x}"), F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")).hint("merge"), f"t{x}") for x in "ab")
+    # each condition names what is shared once, so that it is counted once; it and what is needed are whole or well apart
+    need = threshold * (F.col("na") + F.col("nb")) / (1 + threshold) - 1e-9
+    pairs = one.join(two.hint("merge"), ["ta", "tb"]).where((F.col("ta") != F.col("tb")) | (F.col("a") < F.col("b")))
+    close = pairs.where((F.least("na", "nb") >= need) & (F.size(F.array_intersect("sa", "sb")) >= need))
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, k1, k2, copy_of, class_id, n_links) of every row.
 
@@ -113,16 +165,15 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance:
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *(F.get("sig", b * BAND_ROWS + j) for j in range(BAND_ROWS))))
     keyed = sigs.select("u", F.explode(bands).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u"))).select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
-    met, met_path = written(met, "candidates")
+    cells, tiles, met, (cells_path, tiles_path, met_path) = _tiled(keyed)
     # 16 bits of each value travel with a pair: a false agreement in 65,536 only ever keeps a pair
     short = F.transform("sig", lambda x: (F.pmod(x, F.lit(65536)) - 32768).cast("smallint"))
     one, two = (sigs.select(F.col("u").alias(x), short.alias(f"sig_{x}")) for x in "ab")
     likely, likely_path = written(met.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(_likely("sig_a", "sig_b", threshold, tolerance)).select("a", "b"), "likely")
     drop_written(rows.sparkSession, met_path)
 
-    asked = likely.select(F.col("a").alias("u")).union(likely.select("b")).distinct()
+    inside = tiles.join(cells.select(F.col("ta").alias("t")).union(cells.select("tb")), "t", "left_semi").select("u")
+    asked = likely.select(F.col("a").alias("u")).union(likely.select("b")).union(inside).distinct()
     asked = asked.join(classes, "u").select("u", "copy_of", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
     held = shingled(rows.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("copy_of"))).select("u", "c1", "c2", "text"), n).where("k1 = c1 AND k2 = c2")
     sets = held.groupBy("u").agg(F.first(F.array_distinct("grams")).alias("s"))
@@ -134,9 +185,9 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance:
     again = _counted(judged.where(unclear).select("a", "b"), sets.select("u", "n", "s"))
     pairs = judged.where(~unclear).union(again).where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")))
     sizes = classes.select("u", "copies")
-    links = pairs.select("a", "b").join(sizes.select(F.col("u").alias("a"), F.col("copies").alias("ca")), "a").join(sizes.select(F.col("u").alias("b"), F.col("copies").alias("cb")), "b")
+    links = pairs.select("a", "b").union(_within(cells, tiles, sets.select("u", "n", "s"), threshold)).join(sizes.select(F.col("u").alias("a"), F.col("copies").alias("ca")), "a").join(sizes.select(F.col("u").alias("b"), F.col("copies").alias("cb")), "b")
     links, _ = written(links.select("a", "b", "ca", "cb"), "links")
-    drop_written(rows.sparkSession, likely_path, sets_path, judged_path)
+    drop_written(rows.sparkSession, likely_path, sets_path, judged_path, cells_path, tiles_path)
 
     others = links.select(F.col("a").alias("u"), F.col("cb").alias("n")).union(links.select("b", "ca")).groupBy("u").agg(F.sum("n").alias("others"))
     grouped, _ = components(links.select("a", "b"))

@@ -263,6 +263,30 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard_join.near_copies(frame(spark, [])).count() == 0
 
 
+def test_jaccard_of_a_large_group_forms_no_pairs_by_bands(spark, monkeypatch):
+    rng = random.Random(11)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for i in range(150):  # near copies, several tiles of them
+        docs.append((i, " ".join(w if rng.random() > rng.choice((0.02, 0.08)) else f"x{rng.randrange(40)}" for w in base)))
+    for i in range(150, 200):  # short texts with one line in common
+        docs.append((i, "one line that many short texts have in common " + " ".join(f"y{rng.randrange(500)}" for _ in range(rng.randrange(3, 9)))))
+    docs += [(200, docs[0][1]), (201, None), (202, "alone here today")]
+    made, plain = {}, jaccard_join.written
+
+    def counting(df, what):
+        table, path = plain(df, what)
+        made[what] = made.get(what, 0) + table.count()
+        return table, path
+
+    monkeypatch.setattr(jaccard_join, "written", counting)
+    for tile in (256, 16):
+        made.clear()
+        monkeypatch.setattr(jaccard_join, "TILE", tile, raising=False)
+        found = jaccard_join.near_copies(frame(spark, docs)).collect()
+        assert sorted((r.id, r.class_id, r.n_links) for r in found) == jaccard(docs, 3, 0.5)
+        assert made["links"] > 5_000 and made["candidates"] < made["links"] / 10
+
+
 def test_jaccard_recall_near_the_threshold(spark):
     rng = random.Random(7)
     docs = []
