@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import passes
-from ..functions.tokens import MAX_CHARS, MAX_TOKENS, char_ids, designation_decode, padded, pointer, special_ids, tokens
+from ..functions.tokens import MAX_TOKENS, char_ids, designation_decode, padded, pointer, special_ids, tokens
 from ..functions.vectors import TINY, dot, nearest
 from ..operators.centroids import LIMIT_LITERALS, vector_sums
-from ..operators.encoders import HashedNgrams, NeuralBundle, Weights, pointer_scores, pooled_vector
+from ..operators.encoders import HashedNgrams, NeuralBundle, Weights, pointer_scores, pooled_vector, slices, stacked
 
 #: Classes that don't train affiliations: no affiliation, unknown, several.
 NOT_AFFILIATIONS = ("UNAFF", "UNK", "MULTI")
@@ -110,14 +110,11 @@ class NeuralModel:
         bundle, n = self.bundle, self.bundle.max_tokens
         union, names, centroids = np.array(self.union_centroid), list(self.affiliations), np.array(self.affiliation_centroids)
 
-        @F.pandas_udf("is_union boolean, union_score double, affiliation string, affiliation_unrecognized boolean, place int, aff_score double")
-        def stages(chars: pd.Series, types: pd.Series, numbers: pd.Series, specials: pd.Series) -> pd.DataFrame:
-            rows = len(chars)
-            out = pd.DataFrame({"is_union": [False] * rows, "union_score": np.nan, "affiliation": [None] * rows, "affiliation_unrecognized": [False] * rows, "place": pd.array([None] * rows, "Int32"), "aff_score": pd.array([None] * rows, "Float64")})
-            if not rows:
-                return out
-            w = bundle.weights()
-            c, t, m, s = np.stack(chars).reshape(rows, n, MAX_CHARS), np.stack(types), np.stack(numbers), np.stack(specials)
+        def none(rows: int) -> pd.DataFrame:
+            return pd.DataFrame({"is_union": [False] * rows, "union_score": np.nan, "affiliation": pd.Series([None] * rows, dtype=object), "affiliation_unrecognized": [False] * rows, "place": pd.array([None] * rows, "Int32"), "aff_score": pd.array([None] * rows, "Float64")})
+
+        def some(w: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray, m: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+            out = none(len(c))
             score = pooled_vector(Weights(w, "union."), c, t, m)[0] @ union
             with np.errstate(invalid="ignore"):
                 own = np.flatnonzero(score >= union_threshold)  # NaN is out
@@ -136,6 +133,12 @@ class NeuralModel:
                 out.loc[own, "aff_score"] = top
             return out
 
+        @F.pandas_udf("is_union boolean, union_score double, affiliation string, affiliation_unrecognized boolean, place int, aff_score double")
+        def stages(chars: pd.Series, types: pd.Series, numbers: pd.Series, specials: pd.Series) -> pd.DataFrame:
+            w = bundle.weights()
+            # each slice is done with before the next one is stacked
+            return pd.concat([some(w, *stacked(n, chars[k], types[k], numbers[k], specials[k])) for k in slices(len(chars))] or [none(0)], ignore_index=True)
+
         full = padded(token_array, n)
         inputs = [F.flatten(F.transform(full, lambda x: char_ids(x["token"]))), F.transform(full, lambda x: x["type"].cast("int")), F.transform(full, lambda x: x["is_number"].cast("int")), special_ids(full)]
         steps = df.withColumn("_r", stages(*inputs))

@@ -179,6 +179,47 @@ def test_bundle_sizes_and_pointer():
     assert scores.shape == (1, 7) and np.isfinite(scores[0, [0, 3, 4]]).all() and np.isneginf(scores[0, [1, 2, 5, 6]]).all()
 
 
+def test_neural_stages_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Memory by the slice, not by the Arrow batch, and the same places as by whole-width inputs."""
+    import tracemalloc
+
+    seen = []
+    monkeypatch.setattr(E, "attention", lambda w, query, keys, *rest, f=E.attention: seen.append(keys.shape[:2]) or f(w, query, keys, *rest))
+    w = E.random_bundle(2, affiliations=2, hidden=4)
+    rng = np.random.default_rng(5)
+    types = np.full((6, 70), 4)
+    for row, n in enumerate((3, 9, 1, 0, 5, 2)):
+        types[row, :n] = rng.integers(0, 3, n)
+    chars, numbers = rng.integers(0, 50, (6, 70, 20)) * (types != 4)[..., None], (types == 1).astype(int)
+    specials = np.where(types == 4, 1, rng.integers(0, 1015, (6, 70)))
+    scores = E.pointer_scores(E.Weights(w, "pointer."), chars, types, numbers, specials, np.zeros(6, int))
+    assert scores.shape == (6, 71) and {s[1] for s in seen} == {10}
+    odd = specials.copy()
+    odd[:, 69] = 7  # unlike pads can't stand for one another
+    E.pointer_scores(E.Weights(w, "pointer."), chars, types, numbers, odd, np.zeros(6, int))
+    assert seen[-1][1] == 70
+    v, a = E.pooled_vector(E.Weights(w, "union."), chars, types, numbers)
+    assert a.shape == (6, 70) and np.allclose(a[1, 9:], 0) and np.isnan(a[3]).all() and np.isnan(v[3]).all()
+    wide = types.copy()
+    wide[4] = 0  # makes the others as wide as it is
+    again = E.pointer_scores(E.Weights(w, "pointer."), chars, wide, numbers, specials, np.zeros(6, int))
+    others = [0, 1, 2, 5]
+    assert np.allclose(again[others], scores[others]) and np.allclose(E.pooled_vector(E.Weights(w, "union."), chars, wide, numbers)[0][others], v[others])
+
+    assert [s.stop - s.start for s in E.slices(300)] == [128, 128, 44] and E.slices(0) == []
+    ids = rng.integers(1, 50, (20_000, 20))
+    tracemalloc.start()
+    out = E.character_cnn(E.Weights(w, "union.char_cnn."), ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.shape == (20_000, 64) and peak < 200e6  # all words at once take over 1 GB
+    bundle = E.NeuralBundle("", arrays=w)
+    rows = spark.range(0, 300, 1, 1).select("id", F.transform(F.array(F.lit("local"), F.col("id").cast("string")), lambda x, i: F.struct(i.alias("pos"), x.alias("token"), i.cast("tinyint").alias("type"), (i == 1).alias("is_number"))).alias("t"))
+    got = rows.select("id", bundle.vector("t", "union").alias("v"), bundle.place("t", F.lit(0)).alias("p")).orderBy("id").collect()
+    alone = rows.where("id = 131").select(bundle.vector("t", "union").alias("v"), bundle.place("t", F.lit(0)).alias("p")).head()
+    assert len(got) == 300 and np.allclose(got[131]["v"], alone["v"]) and got[131]["p"] == alone["p"]
+
+
 def run_cli(tmp_path, capsys, spark, text, *args):
     path = tmp_path / "in.csv"
     path.write_text(text)
