@@ -31,14 +31,21 @@ def merge_spaced_letters(text: Column | str) -> Column:
     return F.regexp_replace(text, _LONE_GAP, "")
 
 
-def _typed(raw: Column) -> Column:
-    """(token, type) of one match of the scan."""
-    first = F.substring(raw, 1, 1)
+def _typed(raw: Column, place: Column) -> Column:
+    """The token of one match of the scan. Comparisons by code points decide on ASCII, expressions on the rest."""
+
+    def token(text: Column, kind: int) -> Column:
+        return F.struct(place.alias("pos"), text.alias("token"), F.lit(kind).cast("tinyint").alias("type"), F.lit(kind == NUMBER).alias("is_number"))
+
+    number = F.coalesce(F.nullif(F.ltrim(raw, F.lit("0")), F.lit("")), F.lit("0"))
     return (
-        F.when(first.rlike("^[a-z]"), F.struct(F.replace(raw, F.lit("."), F.lit("")).alias("token"), F.lit(WORD).cast("tinyint").alias("type")))
-        .when(first.rlike(r"^\p{Nd}"), F.struct(F.coalesce(F.nullif(F.regexp_replace(raw, "^0+", ""), F.lit("")), F.lit("0")).alias("token"), F.lit(NUMBER).cast("tinyint").alias("type")))
-        .when(first.rlike(rf"^[{_WS}]"), F.struct(F.lit(" ").alias("token"), F.lit(SPACE).cast("tinyint").alias("type")))
-        .otherwise(F.struct(raw.alias("token"), F.lit(PUNCT).cast("tinyint").alias("type")))
+        F.when((raw >= "a") & (raw < "{"), token(F.replace(raw, F.lit("."), F.lit("")), WORD))
+        .when(raw == " ", token(raw, SPACE))
+        .when((raw >= "0") & (raw < ":"), token(number, NUMBER))
+        .when((raw >= "!") & (raw < "\x7f"), token(raw, PUNCT))
+        .when(raw.rlike(r"^\p{Nd}"), token(number, NUMBER))
+        .when(raw.rlike(rf"^[{_WS}]"), token(F.lit(" "), SPACE))
+        .otherwise(token(raw, PUNCT))
     )
 
 
@@ -48,8 +55,7 @@ def tokens(text: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
     raw = F.regexp_extract_all(F.lower(merge_spaced_letters(F.coalesce(text, F.lit("")))), F.lit(_SCAN), F.lit(0))
     if max_tokens is not None:
         raw = F.slice(raw, 1, max_tokens)
-    typed = F.transform(raw, _typed)
-    return F.transform(typed, lambda t, i: F.struct(i.alias("pos"), t["token"].alias("token"), t["type"].alias("type"), (t["type"] == NUMBER).alias("is_number")))
+    return F.transform(raw, _typed)
 
 
 def padded(token_array: Column | str, max_tokens: int = MAX_TOKENS) -> Column:
@@ -70,6 +76,25 @@ def explode_tokens(df: DataFrame, text_col: str, *keep: str, max_tokens: int | N
     return df.select(*keep, F.inline(tokens(text_col, max_tokens)))
 
 
+def type_counts(df: DataFrame, text_col: str, *keys: str, max_tokens: int | None = MAX_TOKENS) -> DataFrame:
+    """(keys, type, n, n_chars, last, largest): tokens counted by type, their characters, the last place and the largest token.
+
+    Each row's tokens are counted within the row; what is sorted and shuffled is a row for each type, not for each token.
+    """
+
+    def of_type(kind: int) -> Column:
+        return F.filter("_t", lambda t: t["type"] == F.lit(kind).cast("tinyint"))
+
+    def counts(own: Column, kind: Column) -> Column:
+        n_chars = F.aggregate(own, F.lit(0).cast("long"), lambda s, t: s + F.length(t["token"]))
+        largest = F.array_max(F.transform(own, lambda t: t["token"]))
+        return F.struct(kind.alias("type"), F.size(own).cast("long").alias("n"), n_chars.alias("n_chars"), F.get(own, F.size(own) - 1)["pos"].alias("last"), largest.alias("largest"))
+
+    parts = F.transform(F.array(*map(of_type, (WORD, NUMBER, SPACE, PUNCT))), counts)
+    rows = df.select(*keys, tokens(text_col, max_tokens).alias("_t")).select(*keys, F.inline(F.filter(parts, lambda c: c["n"] > 0)))
+    return rows.groupBy(*keys, "type").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"), F.max("last").alias("last"), F.max("largest").alias("largest"))
+
+
 def char_ids(token: Column | str, max_chars: int = MAX_CHARS) -> Column:
     """Ids of the first ``max_chars`` lower-case characters, filled up with 0."""
     token = F.col(token) if isinstance(token, str) else token

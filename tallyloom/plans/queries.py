@@ -456,8 +456,7 @@ def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of whole documents, without the limit that the model's inputs have, counted by type."""
-    every = K.explode_tokens(_table(spark, sf_dir, "documents"), "text", "doc_id", max_tokens=None)
-    return every.groupBy("doc_id", F.col("type").cast("int").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("token").cast("long")).alias("n_chars"), F.max("pos").alias("last"), F.max("token").alias("largest"))
+    return K.type_counts(_table(spark, sf_dir, "documents"), "text", "doc_id", max_tokens=None)
 
 
 def last_number_whole_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,20 @@ def test_pointer_ties_go_to_the_null_slot_then_to_the_first(spark):
 def test_no_python_in_the_plan(spark):
     plan = spark.range(1).select(K.tokens(F.lit("a")))._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_type_counts_shuffle_rows_of_types_not_tokens(spark):
+    """Rows of equal keys meet, null ones too, after their tokens were counted; no token is a row of the plan."""
+    texts = [(1, "b a 07 007, zz"), (1, "c. 12"), (2, None), (2, ""), (None, "é \u0663\u0664 \u2003x"), (3, "__ é")]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    got = K.type_counts(rows, "text", "id", max_tokens=None)
+    every = K.explode_tokens(rows, "text", "id", max_tokens=None)
+    want = every.groupBy("id", F.col("type").cast("int").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("token").cast("long")).alias("n_chars"), F.max("pos").alias("last"), F.max("token").alias("largest"))
+    assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert (1, 1, 3, 4, 4, "7") in set(map(tuple, got.collect()))
+    long = spark.range(0, 4, 1, 1).select("id", F.repeat(F.lit("word 5, "), 5000).alias("text"))
+    counted = K.type_counts(long, "text", "id", max_tokens=None)
+    assert counted.count() == 16
+    generated = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "largest" in generated and "inline(filter(transform(" in generated
