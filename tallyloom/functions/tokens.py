@@ -22,8 +22,11 @@ CHARACTERS = string.ascii_lowercase + string.digits + MARKS
 NUMBERS = 1000
 
 _WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONE_GAP = rf"(?<=(?<![A-Za-z])[A-Za-z])[{_WS}]+(?=[A-Za-z](?![A-Za-z]))"
-_SCAN = rf"[a-z](?:\.[a-z])+\.?|[a-z]+|\p{{Nd}}+|[{_WS}]+|\.(?=[^{_WS}])|[^{_WS}\p{{L}}\p{{N}}_.]"
+# the first look ahead spares all places but gaps the look behind
+_LONE_GAP = rf"(?=[{_WS}])(?<=(?<![A-Za-z])[A-Za-z])[{_WS}]++(?=[A-Za-z](?![A-Za-z]))"
+_WORDS = r"[a-z](?:\.[a-z])+\.?|[a-z]+|\p{Nd}+"
+_NO_WORD = r"[^a-z\p{Nd}]"
+_SCAN = rf"{_WORDS}|[{_WS}]+|\.(?=[^{_WS}])|[^{_WS}\p{{L}}\p{{N}}_.]"
 
 
 def merge_spaced_letters(text: Column | str) -> Column:
@@ -49,15 +52,30 @@ def _typed(raw: Column, place: Column) -> Column:
     )
 
 
+def _scanned(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.lower(merge_spaced_letters(F.coalesce(text, F.lit(""))))
+
+
 def tokens(text: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
     """Tokens of a text, the first ``max_tokens`` of them (all if None)."""
-    text = F.col(text) if isinstance(text, str) else text
-    raw = F.regexp_extract_all(F.lower(merge_spaced_letters(F.coalesce(text, F.lit("")))), F.lit(_SCAN), F.lit(0))
+    raw = F.regexp_extract_all(_scanned(text), F.lit(_SCAN), F.lit(0))
     if max_tokens is not None:
         raw = F.slice(raw, 1, max_tokens)
     return F.transform(raw, _typed)
 
 
+def words(text: Column | str) -> Column:
+    """Words and numbers of a whole text as ``tokens`` has them, in text order, spaces between and behind them; no array is made."""
+    found = F.regexp_replace(_scanned(text), rf"{_NO_WORD}*+({_WORDS})|{_NO_WORD}++", "$1 ")
+    return F.regexp_replace(F.replace(found, F.lit("."), F.lit("")), r"(?=0)(?<![^ ])0+(?=\p{Nd})", "")
+
+
+def last_number(words: Column | str) -> Column:
+    """The last number among ``words``, empty without one."""
+    return F.substring_index(F.rtrim(words, F.lit(" " + string.ascii_lowercase)), " ", -1)
+
+
 def padded(token_array: Column | str, max_tokens: int = MAX_TOKENS) -> Column:
     """Tokens filled up to ``max_tokens`` with empty ones of type ``PAD``, as a fixed-shape model wants them."""
     token_array = F.col(token_array) if isinstance(token_array, str) else token_array

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import passes
-from ..functions.tokens import MAX_TOKENS, char_ids, designation_decode, padded, pointer, special_ids, tokens
+from ..functions.tokens import MAX_TOKENS, char_ids, designation_decode, last_number, padded, pointer, special_ids, tokens, words
 from ..functions.vectors import TINY, dot, nearest
 from ..operators.centroids import LIMIT_LITERALS, vector_sums
 from ..operators.encoders import HashedNgrams, NeuralBundle, Weights, pointer_scores, pooled_vector, slices, stacked
@@ -32,6 +32,11 @@ NOT_A_UNION = "UNK"
 RECORD = ("is_union", "union_score", "affiliation", "affiliation_unrecognized", "designation", "aff_score")
 
 
+def last_wins(token: Column, index: Column) -> Column:
+    """The rule by which the last number of a text designates."""
+    return index + 1
+
+
 @dataclass
 class CentroidModel:
     """Centroids of the stages over one encoder, and the rule that scores number tokens."""
@@ -40,7 +45,7 @@ class CentroidModel:
     affiliations: list[str]
     affiliation_centroids: list[list[float]]
     encoder: Callable[[Column], Column] = field(default_factory=HashedNgrams)
-    number_score: Callable[[Column, Column], Column] = lambda token, index: index + 1  # the last number
+    number_score: Callable[[Column, Column], Column] = last_wins
 
     def save(self, path: str) -> None:
         """Writes the centroids as JSON; encoder and rule are code."""
@@ -58,7 +63,20 @@ class CentroidModel:
         The vector is computed once. All that follows is native and cheap, so the gate is a condition in the
         same projection and nothing is split or joined.
         """
-        steps = df.withColumn("_vector", self.encoder(token_array))
+        designation = designation_decode(token_array, pointer(token_array, self.number_score))
+        return self._record(self.encoder(token_array), designation, union_threshold, affiliation_threshold, df)
+
+    @property
+    def needs_words_only(self) -> bool:
+        """Whether words and numbers say all that encoder and rule ask of a text, so that ``record_of_words`` is its record."""
+        return isinstance(self.encoder, HashedNgrams) and self.number_score is last_wins
+
+    def record_of_words(self, words: Column, union_threshold: float, affiliation_threshold: float, df: DataFrame) -> DataFrame:
+        """``record`` by the column of ``tokens.words``, without an array of tokens."""
+        return self._record(self.encoder.of_words(words), last_number(words), union_threshold, affiliation_threshold, df)
+
+    def _record(self, vector: Column, designation: Column, union_threshold: float, affiliation_threshold: float, df: DataFrame) -> DataFrame:
+        steps = df.withColumn("_vector", vector)
         steps = steps.withColumn("_union_score", dot("_vector", F.array(*map(F.lit, self.union_centroid))))
         steps = steps.withColumn("_is_union", passes("_union_score", union_threshold))
         named = list(zip(self.affiliations, self.affiliation_centroids))
@@ -66,8 +84,7 @@ class CentroidModel:
         steps = steps.withColumn("_best", F.when(F.col("_is_union"), best))
         names = F.array(*map(F.lit, self.affiliations)) if named else F.array().cast("array<string>")
         affiliation = F.when(passes("_best.score", affiliation_threshold), F.get(names, F.col("_best.idx")))
-        place = pointer(token_array, self.number_score)
-        steps = steps.withColumn("_aff", affiliation).withColumn("_desig", F.when(F.col("_is_union"), designation_decode(token_array, place)))
+        steps = steps.withColumn("_aff", affiliation).withColumn("_desig", F.when(F.col("_is_union"), designation))
         record = F.struct(
             F.col("_is_union").alias("is_union"),
             F.col("_union_score").alias("union_score"),
@@ -178,8 +195,10 @@ class Extractor:
 
     def transform(self, df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
         """``df`` with the six fields of the record, named with ``prefix``; same-named columns are replaced."""
-        with_tokens = df.withColumn("_tokens", tokens(text_col, self.max_tokens))
-        done = self.model.record(F.col("_tokens"), self.union_threshold, self.affiliation_threshold, with_tokens).drop("_tokens")
+        whole = self.max_tokens is None and getattr(self.model, "needs_words_only", False)
+        with_tokens = df.withColumn("_tokens", words(text_col) if whole else tokens(text_col, self.max_tokens))
+        record = self.model.record_of_words if whole else self.model.record
+        done = record(F.col("_tokens"), self.union_threshold, self.affiliation_threshold, with_tokens).drop("_tokens")
         kept = [c for c in df.columns if c not in {prefix + f for f in RECORD}]
         return done.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_record.{f}").alias(prefix + f) for f in RECORD))
 
@@ -206,7 +225,8 @@ def fit(labelled: DataFrame, text_col: str = "text", class_col: str = "aff_abbr"
     (``mean_vectors`` and ``nearest_centroid`` take any number).
     """
     encode = encoder or HashedNgrams()
-    rows = labelled.select(F.col(class_col).alias("class"), encode(tokens(text_col, max_tokens)).alias("v")).where(~F.exists("v", F.isnan))
+    vector = encode.of_words(words(text_col)) if max_tokens is None and isinstance(encode, HashedNgrams) else encode(tokens(text_col, max_tokens))
+    rows = labelled.select(F.col(class_col).alias("class"), vector.alias("v")).where(~F.exists("v", F.isnan))
     dim = getattr(encode, "dim", None) or len((rows.select("v").head() or {"v": []})["v"])
     sums = vector_sums(rows, "class", "v", dim)
     taught = F.coalesce(F.col("class") != NOT_A_UNION, F.lit(True))

@@ -133,3 +133,31 @@ def test_type_counts_shuffle_rows_of_types_not_tokens(spark):
     assert counted.count() == 16
     generated = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "largest" in generated and "inline(filter(transform(" in generated
+
+
+def test_words_of_whole_texts_are_those_of_the_tokens(spark):
+    odd = ["", None, " . ", "é", "007 000 0", "0\u0663 00\u0660 x", "a.b.cd 0x0 1.50", "A B\u2003C. D\x1c7 ", "local12 y_z Ünï 00 \U0001d7ce\U0001d7d7", "x" * 300 + "0" * 300, "no number.", "3 then words only, ü"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*odd, *CASES])], "id int, text string")
+    spoken = F.filter(K.tokens("text", None), lambda t: t["type"] <= 1)
+    numbers = F.filter(spoken, lambda t: t["is_number"])
+    last = F.coalesce(F.get(numbers, F.size(numbers) - 1)["token"], F.lit(""))
+    got = rows.select("id", K.words("text").alias("w"), F.transform(spoken, lambda t: t["token"]).alias("want"), last.alias("last")).withColumn("number", K.last_number("w")).orderBy("id").collect()
+    assert [r.w.split() for r in got] == [r.want for r in got]
+    assert [r.number for r in got] == [r["last"] for r in got] and len({r.number for r in got}) > 5
+
+
+def test_whole_texts_are_read_without_token_arrays(spark):
+    """The same records and models as by tokens, from a plan without them."""
+    from tallyloom.plans.extractor import CentroidModel, Extractor, fit
+
+    rows = spark.createDataFrame([(k, f"Local {k} A F G E. ok{'é' * (k % 2)} {'word 00' * k}", "ab"[k % 2]) for k in range(12)] + [(12, None, "a"), (13, "...", "b")], "id int, text string, aff_abbr string")
+    model, limited = fit(rows, max_tokens=None), fit(rows, max_tokens=10_000)
+    assert model.affiliations == limited.affiliations == ["a", "b"]
+    assert model.union_centroid == pytest.approx(limited.union_centroid) and model.affiliation_centroids[1] == pytest.approx(limited.affiliation_centroids[1])
+    whole = Extractor(model, 0.1, 0.1, max_tokens=None).transform(rows)
+    assert "regexp_extract_all" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    want = Extractor(model, 0.1, 0.1, max_tokens=10_000).transform(rows)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, want.collect()))
+    first = CentroidModel(model.union_centroid, model.affiliations, model.affiliation_centroids, number_score=lambda t, i: -i + 100_000)
+    assert not first.needs_words_only
+    assert Extractor(first, 0.1, 0.1, max_tokens=None).transform(rows).where("id = 11").head().designation == "11"
