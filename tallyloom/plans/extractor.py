@@ -199,6 +199,14 @@ class Extractor:
         with_tokens = df.withColumn("_tokens", words(text_col) if whole else tokens(text_col, self.max_tokens))
         record = self.model.record_of_words if whole else self.model.record
         done = record(F.col("_tokens"), self.union_threshold, self.affiliation_threshold, with_tokens).drop("_tokens")
+        return self._with_fields(done, df, prefix)
+
+    def transform_encoded(self, df: DataFrame, vector_col: str, number_col: str, prefix: str = "") -> DataFrame:
+        """``transform`` of a table that holds each text's vector and last number (``encode_whole``), for a model of the same encoder."""
+        done = self.model._record(F.col(vector_col), F.col(number_col), self.union_threshold, self.affiliation_threshold, df)
+        return self._with_fields(done, df, prefix)
+
+    def _with_fields(self, done: DataFrame, df: DataFrame, prefix: str) -> DataFrame:
         kept = [c for c in df.columns if c not in {prefix + f for f in RECORD}]
         return done.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_record.{f}").alias(prefix + f) for f in RECORD))
 
@@ -226,7 +234,19 @@ def fit(labelled: DataFrame, text_col: str = "text", class_col: str = "aff_abbr"
     """
     encode = encoder or HashedNgrams()
     vector = encode.of_words(words(text_col)) if max_tokens is None and isinstance(encode, HashedNgrams) else encode(tokens(text_col, max_tokens))
-    rows = labelled.select(F.col(class_col).alias("class"), vector.alias("v")).where(~F.exists("v", F.isnan))
+    return fit_vectors(labelled.select(F.col(class_col).alias("class"), vector.alias("v")), "class", "v", least, encode)
+
+
+def encode_whole(df: DataFrame, text_col: str, encoder: HashedNgrams, vector_col: str, number_col: str) -> DataFrame:
+    """Replaces a column of texts by the vector and the last number of each whole text."""
+    read = df.withColumn("_words", words(text_col)).drop(text_col)
+    return read.withColumn(vector_col, encoder.of_words("_words")).withColumn(number_col, last_number("_words")).drop("_words")
+
+
+def fit_vectors(labelled: DataFrame, class_col: str, vector_col: str, least: int = 5, encoder: Callable | None = None) -> CentroidModel:
+    """``fit`` from vectors that ``encoder`` has made."""
+    encode = encoder or HashedNgrams()
+    rows = labelled.select(F.col(class_col).alias("class"), F.col(vector_col).alias("v")).where(~F.exists("v", F.isnan))
     dim = getattr(encode, "dim", None) or len((rows.select("v").head() or {"v": []})["v"])
     sums = vector_sums(rows, "class", "v", dim)
     taught = F.coalesce(F.col("class") != NOT_A_UNION, F.lit(True))

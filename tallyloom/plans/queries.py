@@ -18,7 +18,7 @@ from ..operators import contrastive, evaluate, sampling
 from ..operators import lookup as L
 from ..operators.encoders import HashedNgrams, NeuralBundle, random_bundle
 from ..sources import tables as S
-from .extractor import CentroidModel, Extractor, NeuralModel, fit
+from .extractor import CentroidModel, Extractor, NeuralModel, encode_whole, fit, fit_vectors
 from .predict import predict
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,9 +468,13 @@ def last_number_whole_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``extract_pipeline`` fitted on and applied to all tokens of all documents."""
-    docs = _table(spark, sf_dir, "documents")
-    model = fit(docs.select("text", F.when(F.col("lang") == "fr", "UNK").otherwise(F.upper("lang")).alias("aff_abbr")), max_tokens=None)
-    out = Extractor(model, _UNION_AT, _AFFILIATION_AT, max_tokens=None).transform(docs.select("doc_id", "text"))
+    encoder, path = HashedNgrams(), S.work_dir(spark, "encoded")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "fr", "UNK").otherwise(F.upper("lang")).alias("aff_abbr"))
+    # texts are read once, for the fit and for the records
+    encode_whole(docs, "text", encoder, "vector", "number").write.parquet(path)
+    encoded = spark.read.parquet(path)
+    model = fit_vectors(encoded, "aff_abbr", "vector", encoder=encoder)
+    out = Extractor(model, _UNION_AT, _AFFILIATION_AT).transform_encoded(encoded, "vector", "number")
     return out.select("doc_id", "is_union", F.round("union_score", 6).alias("union_score"), "affiliation", "affiliation_unrecognized", "designation", F.round("aff_score", 6).alias("aff_score"))
 
 

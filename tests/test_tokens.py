@@ -148,7 +148,7 @@ def test_words_of_whole_texts_are_those_of_the_tokens(spark):
 
 def test_whole_texts_are_read_without_token_arrays(spark):
     """The same records and models as by tokens, from a plan without them."""
-    from tallyloom.plans.extractor import CentroidModel, Extractor, fit
+    from tallyloom.plans.extractor import CentroidModel, Extractor, encode_whole, fit, fit_vectors
 
     rows = spark.createDataFrame([(k, f"Local {k} A F G E. ok{'é' * (k % 2)} {'word 00' * k}", "ab"[k % 2]) for k in range(12)] + [(12, None, "a"), (13, "...", "b")], "id int, text string, aff_abbr string")
     model, limited = fit(rows, max_tokens=None), fit(rows, max_tokens=10_000)
@@ -158,6 +158,10 @@ def test_whole_texts_are_read_without_token_arrays(spark):
     assert "regexp_extract_all" not in whole._jdf.queryExecution().optimizedPlan().toString()
     want = Extractor(model, 0.1, 0.1, max_tokens=10_000).transform(rows)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, want.collect()))
+    encoded = encode_whole(rows, "text", model.encoder, "v", "number")
+    once = Extractor(fit_vectors(encoded, "aff_abbr", "v"), 0.1, 0.1).transform_encoded(encoded, "v", "number").drop("v", "number", "aff_abbr")
+    plain = lambda df: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    assert plain(once) == plain(want.drop("text", "aff_abbr"))
     first = CentroidModel(model.union_centroid, model.affiliations, model.affiliation_centroids, number_score=lambda t, i: -i + 100_000)
     assert not first.needs_words_only
     assert Extractor(first, 0.1, 0.1, max_tokens=None).transform(rows).where("id = 11").head().designation == "11"
